@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 
 from pyspark.sql import Column
@@ -72,8 +73,8 @@ class Ring:
                 own.append((self.places[i], self.shards[i]))
                 i += 1
             own.append((self.places[i], self.shards[i]) if i < len(self.places) else (1 << 32, self.shards[0]))
-            lists.append(F.array(*(F.struct(F.lit(p).cast("long").alias("p"), F.lit(s).alias("s")) for p, s in own)))
-        ring = F.array(*lists)
+            lists.append([{"p": p, "s": s} for p, s in own])
+        ring = F.from_json(F.lit(json.dumps(lists)), "array<array<struct<p: bigint, s: int>>>")  # folded to a literal
 
         def find(h: Column) -> Column:
             return F.array_min(F.filter(F.element_at(ring, (F.shiftright(h, 24) + 1).cast("int")), lambda x: x["p"] >= h))["s"]
