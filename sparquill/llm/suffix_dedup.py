@@ -130,7 +130,8 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
         raise ValueError(f"suffixes are kept for passages of {LEAST} words and more")
     spark, of = docs.sparkSession, kind(docs, "doc_id")
     all_kept = written(suffixes(docs))
-    shared = all_kept.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("shingle")
+    # Written, so that the join reads two plain exchanges and adaptive execution can split a frequent shingle.
+    shared = written(all_kept.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("shingle"))
     kept = all_kept.join(shared, "shingle", "left_semi")
     places = kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))  # no more than the document's own words
     texts = docs.select("doc_id", "text").filter("text is not null").join(places.hint("shuffle_hash"), "doc_id")
