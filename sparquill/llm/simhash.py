@@ -67,7 +67,8 @@ def variants(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b) between distinct fingerprints within two bits, enough of them to connect all that are."""
-    index = variants(fps)
+    # A fingerprint becomes 64 rows: the few files it is read from are dealt over as many tasks as a shuffle has.
+    index = variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"))
     held = written(index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
     pairs = held.filter("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
     keys = held.filter("n > 2").select("key")
