@@ -31,7 +31,7 @@ from sparquill.llm.common import kind, map_rows, written
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 20_000
 #: Prior mass as a share of each class's own, least z value and documents of a toxic word.
-PRIOR, LEAST_Z, LEAST_DOCS = 0.05, 3.5, 3
+PRIOR, LEAST_Z, LEAST_DOCS = 0.2, 2.8, 3
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
