@@ -115,10 +115,12 @@ def deduplicated(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     # An id of one row is looked up by id alone, so no fingerprint is computed again.
     once = keep.filter("n = 1 and keep_id is not null").select(F.col("keep_id").alias("__keep"))
     out = docs.join(once.hint("shuffle_hash"), docs["doc_id"] == F.col("__keep"), "left_semi")
-    again = keep.filter("n > 1 or keep_id is null").select("keep_id", "keep_fp")
+    again = keep.filter("n > 1 or keep_id is null").select(F.col("keep_id").alias("__id"), F.col("keep_fp").alias("__best"))
     if again.isEmpty():
         return out
-    some = docs.join(again.select("keep_id").distinct(), F.expr("doc_id <=> keep_id"), "left_semi")
+    ids = again.select(F.col("__id").alias("__some")).distinct()
+    some = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__some")), "left_semi")
     mark = F.udf(lambda t: int(np.uint64(fingerprint(t, words, seed)).astype(np.int64)), "long")
-    some = some.withColumn("__fp", mark("text")).join(again, F.expr("doc_id <=> keep_id and __fp = keep_fp"), "left_semi")
+    some = some.withColumn("__fp", mark("text"))
+    some = some.join(again, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__best")), "left_semi")
     return out.unionByName(some.dropDuplicates(["doc_id", "__fp"]).select(docs.columns))
