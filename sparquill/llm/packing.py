@@ -6,8 +6,8 @@ by best-fit decreasing and computes dual-feasible-function lower bounds on its
 bin count. A partition whose count meets the bound is certified: no packing of
 its pieces has fewer bins. A partition with a gap releases the pieces of its
 emptiest bins; the released pieces of all partitions are exchanged (dealt anew
-over fewer partitions) and packed again, until no gap is left or one partition
-has seen all that was released.
+over fewer partitions) and packed again, until no gap is left, one partition
+has seen all that was released, or an exchange has not halved what is left.
 
 Only lengths and keys move between machines, never texts or ids.
 """
@@ -143,12 +143,13 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = PIECES) ->
     1 to ``capacity``. An empty table gives an empty result; equal rows are
     separate pieces.
     """
-    left = items if items.isStreaming else written(items)
+    left = written(items)
     done, turn = None, 0
-    n = left.count()
+    before = n = left.count()
     while True:
         parts = max(1, -(-n // per_partition))
-        last = parts == 1 and turn > 0
+        last = turn > 0 and (parts == 1 or 2 * n > before)
+        before = n
         dealt = left.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
         now = written(_packed(dealt, capacity, turn, last))
         placed = now.filter("sequence_id is not null")
