@@ -44,6 +44,9 @@ KNOWN = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 
+#: Known texts at most.
+MOST = 1_000
+
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
@@ -62,17 +65,20 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     line_licenses are the distinct licenses of lines, sorted and comma-joined.
     Null texts count as empty, which is no license. Rows with equal or null
     ids each keep their row; other columns are not read. ``known`` is a fixed
-    table of the library, so its digests are broadcast.
+    table of the library of at most MOST texts, so its digests are broadcast
+    for whole texts, and a literal map for lines.
     """
+    if len(known) > MOST:
+        raise ValueError(f"at most {MOST} known texts: their digests are broadcast")
     spark = docs.sparkSession
     table = spark.createDataFrame(list(known), "license string, body string").select(digest(F.col("body")).alias("d"), "license")
     found = table.groupBy("d").agg(F.min("license").alias("license"))
-    index = found.agg(F.map_from_entries(F.collect_list(F.struct("d", "license"))).alias("__by_digest"))
+    by_digest = F.create_map(*(F.lit(x) for r in found.orderBy("d").collect() for x in r))  # as many as ``known``
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", digest(text).alias("text_sha256"), F.split(text, "\n").alias("__lines"))
     own = own.join(F.broadcast(found), F.col("text_sha256") == F.col("d"), "left").withColumnRenamed("license", "text_license")
-    lines = F.filter(F.transform("__lines", lambda x: F.element_at(F.col("__by_digest"), digest(x))), lambda x: x.isNotNull())
-    own = own.crossJoin(F.broadcast(index)).withColumn("__of", lines)  # one row: the table of known digests
+    lines = F.filter(F.transform("__lines", lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull())
+    own = own.withColumn("__of", lines)
     return own.select("doc_id", "text_sha256", "text_license", F.array_join(F.array_sort(F.array_distinct("__of")), ",").alias("line_licenses"), F.size("__of").cast("bigint").alias("n_license_lines"))
 
 
