@@ -121,6 +121,19 @@ def summary(conversations: DataFrame) -> DataFrame:
     return key.repartition(n, "conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
+def summary_sql(source: str) -> str:
+    """The same for DuckDB, of a table expression with rows of roles that need no escape."""
+    order = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+    held = rf"contains(t, '{START}') OR contains(t, '{END}') OR regexp_matches(t, '<\\+\|')"
+    return rf"""
+    WITH said AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS t FROM {source}),
+    sized AS (SELECT *, {len(START) + len(END) + 2} + length(r) + length(t) + CASE WHEN {held} THEN len(regexp_extract_all(t, '<\\*\|')) ELSE 0 END AS size FROM said)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' {order})) AS turns_sha256,
+    coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' {order}) FILTER (r = 'assistant'), '')) AS loss_sha256,
+    sum(size)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id
+    """
+
+
 def _closed(c: list) -> tuple:
     return c[0], c[1], c[2].hexdigest(), c[3], c[4].hexdigest(), c[5]
 
