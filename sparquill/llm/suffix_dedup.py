@@ -10,14 +10,20 @@ suffixes of a document overlap and are merged to passages.
 
 The sort is by range of (shingle, following words, document, place), so the
 suffixes of a passage that stands in a third of all documents are spread over
-machines; neighbours that a range boundary parts are compared in a second,
-small sort of the first and last suffixes of each range.
+machines. Neighbours in that order share the most following words, yet others
+that share fewer of them and more of the words before may stand further off, or
+beyond the end of a range. So each window of words that a suffix is the
+minimiser of, and that none of its neighbours before it shares, is hashed, once
+for its document and once for the first that matches it there, and equal hashes
+are joined: of the suffixes that hold a window, each either matched one before
+it or is among those, so none is missed, while a window that thousands hold
+side by side is hashed twice.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +37,6 @@ from sparquill.llm.common import kind, map_rows, text_batches, written
 #: Words of a passage at least, and of a shingle; SPAN shingles in a row hold a kept suffix.
 LEAST, SHINGLE = 50, 8
 SPAN = LEAST - SHINGLE + 1
-_WORD = re.compile(r"\S+")
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,28 +45,28 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def minimisers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, shingle hashes) of the kept suffixes of a sequence of word codes."""
+def minimisers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the kept suffixes of a sequence of word codes: place, shingle hash, first and last start of the windows of LEAST words that it is the minimiser of."""
     n = len(codes) - SHINGLE + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    if n < SPAN:
+        none = np.empty(0, np.int64)
+        return none, np.empty(0, np.uint64), none, none
     h = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         h = h * _ODD + codes[j : j + n]
     h ^= h >> np.uint64(32)
     h *= _ODD2
     h ^= h >> np.uint64(29)
-    span = min(SPAN, n)
-    # Ties go to the rightmost by value order of (hash, place); equal content ties alike.
+    # Of equal hashes the leftmost, so that places only ascend; equal content ties alike.
     low, at, size = h, np.arange(n), 1
-    while size < span:
-        step = min(size, span - size)
+    while size < SPAN:
+        step = min(size, SPAN - size)
         a, b = low[: len(low) - step], low[step:]
         right = b < a
         low, at = np.where(right, b, a), np.where(right, at[step:], at[: len(at) - step])
         size += step
-    places = np.unique(at)
-    return places, h[places]
+    places, first, count = np.unique(at, return_index=True, return_counts=True)
+    return places, h[places], first, first + count - 1
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -74,7 +79,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
             out: tuple[list, list, list] = ([], [], [])
             for i, t in zip(ids, texts):
                 w = words_of(t)
-                places, h = minimisers(np.fromiter(map(code.__getitem__, w), np.uint64, len(w)))
+                places, h, _, _ = minimisers(np.fromiter(map(code.__getitem__, w), np.uint64, len(w)))
                 out[0].extend([i] * len(places))
                 out[1].append(h.view(np.int64))
                 out[2].append(places)
@@ -96,25 +101,41 @@ def _common(a: list[str], b: list[str]) -> int:
 
 
 class _Neighbours:
-    """Takes sorted suffixes (shingle, after, before, doc_id, at), gives (doc_id, start, end, other)."""
+    """Takes sorted suffixes (shingle, after, before, doc_id, at, first, last).
+
+    Gives (doc_id, start, end, other) of matches, and (doc_id, start, hash) of
+    the windows of a suffix that no earlier neighbour shares and of the first
+    match of each.
+    """
 
     def __init__(self, least: int):
         self.least, self.run, self.last_run = least, [], []
 
-    def take(self, row: tuple) -> list[tuple]:
-        row = (row[0], row[1].split(" "), row[2].split(" ") if row[2] else [], row[3], row[4])
-        if self.run and self.run[-1][0] != row[0]:
+    def take(self, row: tuple) -> tuple[list[tuple], list[tuple]]:
+        shingle, after, before, doc, at, first, last = row
+        after, before = after.split(" "), before.split(" ") if before else []
+        if self.run and self.run[-1][0] != shingle:
             self.run, self.last_run = [], []
-        fresh = not self.run or self.run[-1][3] != row[3]
+        fresh = not self.run or self.run[-1][3] != doc
         if fresh:
             self.last_run, self.run = self.run, []
-        self.run.append(row)
-        out = []
-        for other in self.last_run if fresh else self.last_run[-1:]:
-            r, l = _common(row[1], other[1]), _common(row[2], other[2])
+        matches, windows, shared = [], [], set()
+        for _, other_after, other_before, other, place, waiting in self.last_run if fresh else self.last_run[-1:]:
+            r, l = _common(after, other_after), _common(before, other_before)
             if r >= SHINGLE and l + r >= self.least:
-                out += [(row[3], row[4] - l, row[4] + r, other[3]), (other[3], other[4] - l, other[4] + r, row[3])]
-        return out
+                matches += [(doc, at - l, at + r, other), (other, place - l, place + r, doc)]
+                both = range(-l, r - self.least + 1)
+                shared.update(at + d for d in both)
+                windows += [(doc, at + d, waiting.pop(place + d)) for d in both if place + d in waiting]
+        left = [s for s in range(first, min(last, at + len(after) - self.least) + 1) if s not in shared]
+        waiting = {}
+        if left:
+            words = [w.encode() for w in (*reversed(before), *after)]
+            ends = [0, *accumulate(len(w) + 1 for w in words)]
+            line, base = b" ".join(words), at - len(before)
+            waiting = {s: xxhash.xxh3_64_intdigest(line[ends[s - base] : ends[s - base + self.least] - 1]) - (1 << 63) for s in left}
+        self.run.append((shingle, after, before, doc, at, waiting))
+        return matches, windows + [(doc, s, h) for s, h in waiting.items()]
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -138,51 +159,53 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def cut():
         def f(ids, ts, at):
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
             code = Memo(lambda w: xxhash.xxh64_intdigest(w))
             for i, t, ps in zip(ids, ts, at):
                 w = words_of(t)
                 c = np.fromiter(map(code.__getitem__, w), np.uint64, len(w))
-                have = dict(zip(*(x.tolist() for x in (lambda p, h: (p, h.view(np.int64)))(*minimisers(c)))))
+                p, h, first, last = minimisers(c)
+                have = dict(zip(p.tolist(), zip(h.view(np.int64).tolist(), first.tolist(), last.tolist())))
                 for p in ps:
                     if p in have:
-                        for o, v in zip(out, (have[p], " ".join(w[p : p + least]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p)):
+                        h, a, b = have[p]
+                        for o, v in zip(out, (h, " ".join(w[p : p + least]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p, a, b)):
                             o.append(v)
-            return dict(zip(("shingle", "after", "before", "doc_id", "at"), out))
+            return dict(zip(("shingle", "after", "before", "doc_id", "at", "first", "last"), out))
 
         return f
 
     text_batches(spark)
-    columns = f"shingle bigint, after string, before string, doc_id {of}, at bigint"
-    rows = map_rows(texts.select("doc_id", "text", "places"), columns, cut)
+    rows = map_rows(texts.select("doc_id", "text", "places"), f"shingle bigint, after string, before string, doc_id {of}, at bigint, first bigint, last bigint", cut)
     order = ["shingle", "after", "doc_id", "at"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found_columns = f"{columns}, start bigint, end bigint, other {of}"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    target = to_arrow_schema(_parse_datatype_string(found_columns))
+    types = {"doc_id": to_arrow_type(docs.schema["doc_id"].dataType), "start": pa.int64(), "end": pa.int64(), "other": to_arrow_type(docs.schema["doc_id"].dataType), "hash": pa.int64()}
 
-    def batch(matches: list[tuple], seams: list[tuple]) -> pa.RecordBatch:
-        made = [(None, None, None, d, None, a, b, o) for d, a, b, o in matches] + [(*s, None, None, None) for s in seams]
-        return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], fd.type) for k, fd in enumerate(target)], schema=target)
+    def batch(matches: list[tuple], alone: list[tuple]) -> pa.RecordBatch:
+        made = matches + [(d, s, None, None, h) for d, s, h in alone]
+        return pa.RecordBatch.from_arrays([pa.array([m[k] if k < len(m) else None for m in made], t) for k, t in enumerate(types.values())], names=list(types))
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, first, last, out = _Neighbours(least), None, None, []
+        look = _Neighbours(least)
+        matches: list[tuple] = []
+        alone: list[tuple] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                first, last = first or row, row
-                out += look.take(row)
-            if len(out) >= 5000:
-                yield batch(out, [])
-                out = []
-        yield batch(out, [s for s in (first, last) if s])
-
-    found = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(neighbours, found_columns))
-    seams = found.filter("shingle is not null").select("shingle", "after", "before", "doc_id", "at")  # two rows a range
-    again = seams.coalesce(1).sortWithinPartitions(*order).mapInArrow(neighbours, found_columns)
-    matches = found.filter("start is not null").select("doc_id", "start", "end", "other")
-    matches = matches.unionByName(again.filter("start is not null").select("doc_id", "start", "end", "other"))
+                found, windows = look.take(row)
+                matches += found
+                alone += windows
+                if len(matches) + len(alone) >= 20_000:
+                    yield batch(matches, alone)
+                    matches, alone = [], []
+        yield batch(matches, alone)
+
+    found = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(neighbours, f"doc_id {of}, start bigint, end bigint, other {of}, hash bigint"))
+    alone = found.filter("hash is not null").select("doc_id", "start", "hash")
+    equal = written(alone.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b"))
+    apart = alone.join(equal, "hash").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    matches = found.filter("hash is null").select("doc_id", "start", "end", "other").unionByName(apart)
     matches = matches.groupBy("doc_id", "start", "end").agg(F.min("other").alias("other"))
     own = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))

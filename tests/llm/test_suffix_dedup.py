@@ -30,7 +30,7 @@ def test_every_passage_has_a_common_suffix(rnd):
         for _ in range(2):
             c = [rnd.getrandbits(64) for _ in range(rnd.randrange(30))] + p + [rnd.getrandbits(64) for _ in range(rnd.randrange(30))]
             at = next(k for k in range(len(c)) if c[k : k + 3] == p[:3])
-            places, _ = S.minimisers(np.array(c, np.uint64))
+            places = S.minimisers(np.array(c, np.uint64))[0]
             found.append({x - at for x in places.tolist() if 0 <= x - at <= S.LEAST - S.SHINGLE})
         assert found[0] & found[1]
 
@@ -57,3 +57,23 @@ def test_clean_and_empty_tables(spark, rnd):
     assert S.repeated(make(spark, [])).count() == 0
     one = words(rnd, 100, 9999)
     assert S.repeated(make(spark, [(1, one + " " + one), (1, one)])).count() == 0
+
+
+def test_windows_apart_in_the_order(spark, rnd):
+    """A passage whose holders stand apart in the sort, among others that share more of what follows."""
+    import numpy as np
+    import xxhash
+
+    tail, passage = words(rnd, 40, 9999).split(), words(rnd, 60, 9999).split()
+    codes = np.array([xxhash.xxh64_intdigest(w) for w in passage], np.uint64)
+    at = int(S.minimisers(codes)[0][0])
+    rows = [(k, " ".join(passage[: at + 12] + words(rnd, 3, 99).split() + passage[at + 12 :])) for k in range(4)]
+    for k in range(8):
+        rows.append((10 + k, " ".join(words(rnd, 30, 9999).split() + passage[at : at + 10 + k % 4] + tail[k:])))
+        rows.append((20 + k, " ".join(words(rnd, 9, 9999).split() + passage + tail[: 10 * (k % 3)])))
+    rows.append((90, "del " * 400))
+    rows.append((91, "x " * 30 + "del " * 60))
+    got = {}
+    for r in S.repeated(make(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == brute(rows)
