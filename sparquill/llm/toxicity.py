@@ -122,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     n = known.count()
     known = known.filter(F.expr(f"pmod(xxhash64(doc_id), 1000000) < {min(1.0, rows / max(n, 1)) * 1e6:.0f}"))
     # The sample has a bound, so it is broadcast and texts are read where they lie.
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id")
+    # Written, as two jobs follow: the documents are read once.
+    texts = written(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(known), "doc_id"))
 
     def mark():
         return lambda ids, ts, ys: {"doc_id": ids, "text": ts, "toxic": ys, "sign": [_signature(t) for t in ts]}
