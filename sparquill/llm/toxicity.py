@@ -33,6 +33,8 @@ FIT_ROWS = 20_000
 #: Prior mass as a share of each class's own, least z value and documents of a toxic word.
 PRIOR, LEAST_Z, LEAST_DOCS = 0.2, 2.8, 3
 THRESHOLD = 0.3
+#: Letters of a word's start, which counts as a token too and scores a word that has no score of its own.
+START = 6
 _WORD = re.compile(r"\w+")
 
 
@@ -68,7 +70,7 @@ class Model:
         """The number of words, and (first word, word after the last, score) of each maximal segment."""
         words = _WORD.findall(text.lower()) if text else []
         get = self.words.get
-        hits = [(i, get(w)) for i, w in enumerate(words) if w in self.words]
+        hits = [(i, s) for i, w in enumerate(words) if (s := get(w) or get(w[:START] + "*"))]
         if not hits:
             return len(words), []
         scores, at, last = [], [], -1
@@ -137,6 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             tokens, inside = (Counter(), Counter()), (Counter(), Counter())
             for t, y in zip(ts, ys):
                 w = _WORD.findall(t.lower())
+                w += [x[:START] + "*" for x in w if len(x) > START]
                 y = int(y > 0)
                 tokens[y].update(w)
                 inside[y].update(set(w))
