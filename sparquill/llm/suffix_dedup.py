@@ -8,11 +8,11 @@ all machines, each is compared with its neighbours of other documents, and
 matches are extended to the right and to the left. Extensions from successive
 suffixes of a document overlap and are merged to passages.
 
-The sort is by range of (shingle, following words, document, place), so the
-suffixes of a passage that stands in a third of all documents are spread over
-machines. Neighbours in that order share the most following words, yet others
-that share fewer of them and more of the words before may stand further off, or
-beyond the end of a range. So each window of words that a suffix is the
+The suffixes are dealt by shingle, those of a frequent shingle by document as
+well, so that a passage of a third of all documents is spread over machines,
+and sorted by (shingle, following words, document, place). Neighbours in that
+order share the most following words, yet others that share fewer of them and
+more of the words before may stand further off, or on another machine. So each window of words that a suffix is the
 minimiser of, and that none of its neighbours before it shares, is hashed, once
 for its document and once for the first that matches it there, and equal hashes
 are joined: of the suffixes that hold a window, each either matched one before
@@ -37,6 +37,10 @@ from sparquill.llm.common import kind, map_rows, text_batches, written
 #: Words of a passage at least, and of a shingle; SPAN shingles in a row hold a kept suffix.
 LEAST, SHINGLE = 50, 8
 SPAN = LEAST - SHINGLE + 1
+#: Bits of a place in its document; the others of a shingle's hash decide which is kept.
+PLACE = 30
+#: Suffixes with one shingle that are sorted together, on average; a frequent shingle's are dealt by document.
+TOGETHER = 2_000
 _ODD, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -58,13 +62,12 @@ def minimisers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     h *= _ODD2
     h ^= h >> np.uint64(29)
     # Of equal hashes the leftmost, so that places only ascend; equal content ties alike.
-    low, at, size = h, np.arange(n), 1
+    place = np.uint64((1 << PLACE) - 1)
+    low, size = h & ~place | np.arange(n, dtype=np.uint64), 1
     while size < SPAN:
         step = min(size, SPAN - size)
-        a, b = low[: len(low) - step], low[step:]
-        right = b < a
-        low, at = np.where(right, b, a), np.where(right, at[step:], at[: len(at) - step])
-        size += step
+        low, size = np.minimum(low[: len(low) - step], low[step:]), size + step
+    at = (low & place).astype(np.int64)
     places, first, count = np.unique(at, return_index=True, return_counts=True)
     return places, h[places], first, first + count - 1
 
@@ -92,6 +95,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _common(a: list[str], b: list[str]) -> int:
+    if a == b:
+        return len(a)
     n = 0
     for x, y in zip(a, b):
         if x != y:
@@ -152,31 +157,33 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark, of = docs.sparkSession, kind(docs, "doc_id")
     all_kept = written(suffixes(docs))
     # Written, so that the join reads two plain exchanges and adaptive execution can split a frequent shingle.
-    shared = written(all_kept.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("shingle"))
-    kept = all_kept.join(shared, "shingle", "left_semi")
-    places = kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("places"))  # no more than the document's own words
+    parts = F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts")
+    shared = written(all_kept.groupBy("shingle").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), parts).filter("a <> b").select("shingle", "parts"))
+    kept = all_kept.join(shared, "shingle")
+    places = kept.groupBy("doc_id").agg(F.collect_set(F.struct("at", "parts")).alias("places"))  # no more than the document's own words
     texts = docs.select("doc_id", "text").filter("text is not null").join(places.hint("shuffle_hash"), "doc_id")
 
     def cut():
         def f(ids, ts, at):
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
             code = Memo(lambda w: xxhash.xxh64_intdigest(w))
             for i, t, ps in zip(ids, ts, at):
                 w = words_of(t)
                 c = np.fromiter(map(code.__getitem__, w), np.uint64, len(w))
                 p, h, first, last = minimisers(c)
                 have = dict(zip(p.tolist(), zip(h.view(np.int64).tolist(), first.tolist(), last.tolist())))
-                for p in ps:
+                for x in ps:
+                    p = x["at"]
                     if p in have:
                         h, a, b = have[p]
-                        for o, v in zip(out, (h, " ".join(w[p : p + least]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p, a, b)):
+                        for o, v in zip(out, (h, " ".join(w[p : p + least]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p, a, b, x["parts"])):
                             o.append(v)
-            return dict(zip(("shingle", "after", "before", "doc_id", "at", "first", "last"), out))
+            return dict(zip(("shingle", "after", "before", "doc_id", "at", "first", "last", "parts"), out))
 
         return f
 
     text_batches(spark)
-    rows = map_rows(texts.select("doc_id", "text", "places"), f"shingle bigint, after string, before string, doc_id {of}, at bigint, first bigint, last bigint", cut)
+    rows = map_rows(texts.select("doc_id", "text", "places"), f"shingle bigint, after string, before string, doc_id {of}, at bigint, first bigint, last bigint, parts int", cut)
     order = ["shingle", "after", "doc_id", "at"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -201,7 +208,8 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     matches, alone = [], []
         yield batch(matches, alone)
 
-    found = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(neighbours, f"doc_id {of}, start bigint, end bigint, other {of}, hash bigint"))
+    dealt = rows.repartition(n, "shingle", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts").sortWithinPartitions(*order)
+    found = written(dealt.mapInArrow(neighbours, f"doc_id {of}, start bigint, end bigint, other {of}, hash bigint"))
     alone = found.filter("hash is not null").select("doc_id", "start", "hash")
     equal = written(alone.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b"))
     apart = alone.join(equal, "hash").select("doc_id", "start", (F.col("start") + least).alias("end"), F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
