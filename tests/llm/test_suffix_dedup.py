@@ -1,3 +1,5 @@
+import pytest
+
 from sparquill.llm import suffix_dedup as S
 
 from .conftest import make, words
@@ -59,11 +61,13 @@ def test_clean_and_empty_tables(spark, rnd):
     assert S.repeated(make(spark, [(1, one + " " + one), (1, one)])).count() == 0
 
 
-def test_windows_apart_in_the_order(spark, rnd):
+@pytest.mark.parametrize("together", [2000, 3])
+def test_windows_apart_in_the_order(spark, rnd, monkeypatch, together):
     """A passage whose holders stand apart in the sort, among others that share more of what follows."""
     import numpy as np
     import xxhash
 
+    monkeypatch.setattr(S, "TOGETHER", together)
     tail, passage = words(rnd, 40, 9999).split(), words(rnd, 60, 9999).split()
     codes = np.array([xxhash.xxh64_intdigest(w) for w in passage], np.uint64)
     at = int(S.minimisers(codes)[0][0])
