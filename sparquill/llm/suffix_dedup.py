@@ -12,17 +12,19 @@ The suffixes are dealt by shingle, those of a frequent shingle by document as
 well, so that a passage of a third of all documents is spread over machines,
 and sorted by (shingle, following words, document, place). Neighbours in that
 order share the most following words, yet others that share fewer of them and
-more of the words before may stand further off, or on another machine. So each window of words that a suffix is the
-minimiser of, and that none of its neighbours before it shares, is hashed, once
-for its document and once for the first that matches it there, and equal hashes
-are joined: of the suffixes that hold a window, each either matched one before
-it or is among those, so none is missed, while a window that thousands hold
-side by side is hashed twice.
+more of the words before may stand further off, or on another machine. So each
+window of words that a suffix is the minimiser of, and that none of its
+neighbours before it shares, is hashed, unless the neighbours on both sides
+show that nobody shares so many following words; once for its document and once
+for the first that matches it there. Equal hashes are joined: of the suffixes
+that hold a window, each either matched one before it or is among those, so
+none is missed, while a window that thousands hold side by side is hashed twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import accumulate
 
 import numpy as np
@@ -105,42 +107,66 @@ def _common(a: list[str], b: list[str]) -> int:
     return n
 
 
+@dataclass(slots=True)
+class _Suffix:
+    """A suffix in the sort; left: starts of its windows that no earlier neighbour shares, reach: following words shared with a neighbour at most."""
+
+    after: list[str]
+    before: list[str]
+    doc: object
+    at: int
+    left: list[int]
+    reach: int
+    waiting: dict[int, int] = field(default_factory=dict)
+
+
 class _Neighbours:
-    """Takes sorted suffixes (shingle, after, before, doc_id, at, first, last).
+    """Takes sorted suffixes (shingle, after, before, doc_id, at, first, last, parts).
 
     Gives (doc_id, start, end, other) of matches, and (doc_id, start, hash) of
-    the windows of a suffix that no earlier neighbour shares and of the first
-    match of each.
+    windows that may have a holder further off and of the first match of each.
     """
 
     def __init__(self, least: int):
-        self.least, self.run, self.last_run = least, [], []
+        self.least, self.shingle = least, None
+        self.run: list[_Suffix] = []
+        self.last_run: list[_Suffix] = []
+
+    def closed(self, reach: int = 0) -> list[tuple]:
+        """The windows of the last suffix, now that the one after it is known to share ``reach`` following words."""
+        if not self.run:
+            return []
+        x = self.run[-1]
+        reach = max(reach, x.reach)
+        left = [s for s in x.left if x.at - s + reach >= self.least]
+        if left:
+            words = [w.encode() for w in (*reversed(x.before), *x.after)]
+            ends = [0, *accumulate(len(w) + 1 for w in words)]
+            line, base = b" ".join(words), x.at - len(x.before)
+            x.waiting = {s: xxhash.xxh3_64_intdigest(line[ends[s - base] : ends[s - base + self.least] - 1]) - (1 << 63) for s in left}
+        return [(x.doc, s, h) for s, h in x.waiting.items()]
 
     def take(self, row: tuple) -> tuple[list[tuple], list[tuple]]:
-        shingle, after, before, doc, at, first, last = row
-        after, before = after.split(" "), before.split(" ") if before else []
-        if self.run and self.run[-1][0] != shingle:
-            self.run, self.last_run = [], []
-        fresh = not self.run or self.run[-1][3] != doc
+        shingle, after, before, doc, at, first, last, parts = row
+        after, before = after.split(" ")[:-1], before.split(" ") if before else []
+        reach = _common(after, self.run[-1].after) if self.run and self.shingle == shingle else 0
+        windows = self.closed(reach)
+        if self.shingle != shingle:
+            self.shingle, self.run, self.last_run = shingle, [], []
+        fresh = not self.run or self.run[-1].doc != doc
         if fresh:
             self.last_run, self.run = self.run, []
-        matches, windows, shared = [], [], set()
-        for _, other_after, other_before, other, place, waiting in self.last_run if fresh else self.last_run[-1:]:
-            r, l = _common(after, other_after), _common(before, other_before)
+        matches, shared = [], set()
+        for x in self.last_run if fresh else self.last_run[-1:]:
+            r, l = _common(after, x.after), _common(before, x.before)
             if r >= SHINGLE and l + r >= self.least:
-                matches += [(doc, at - l, at + r, other), (other, place - l, place + r, doc)]
+                matches += [(doc, at - l, at + r, x.doc), (x.doc, x.at - l, x.at + r, doc)]
                 both = range(-l, r - self.least + 1)
                 shared.update(at + d for d in both)
-                windows += [(doc, at + d, waiting.pop(place + d)) for d in both if place + d in waiting]
+                windows += [(doc, at + d, x.waiting.pop(x.at + d)) for d in both if x.at + d in x.waiting]
         left = [s for s in range(first, min(last, at + len(after) - self.least) + 1) if s not in shared]
-        waiting = {}
-        if left:
-            words = [w.encode() for w in (*reversed(before), *after)]
-            ends = [0, *accumulate(len(w) + 1 for w in words)]
-            line, base = b" ".join(words), at - len(before)
-            waiting = {s: xxhash.xxh3_64_intdigest(line[ends[s - base] : ends[s - base + self.least] - 1]) - (1 << 63) for s in left}
-        self.run.append((shingle, after, before, doc, at, waiting))
-        return matches, windows + [(doc, s, h) for s, h in waiting.items()]
+        self.run.append(_Suffix(after, before, doc, at, left, self.least if parts > 1 else reach))
+        return matches, windows
 
 
 def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -176,7 +202,7 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
                     p = x["at"]
                     if p in have:
                         h, a, b = have[p]
-                        for o, v in zip(out, (h, " ".join(w[p : p + least]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p, a, b, x["parts"])):
+                        for o, v in zip(out, (h, " ".join([*w[p : p + least], ""]), " ".join(reversed(w[max(0, p - least + SHINGLE) : p])), i, p, a, b, x["parts"])):
                             o.append(v)
             return dict(zip(("shingle", "after", "before", "doc_id", "at", "first", "last", "parts"), out))
 
@@ -206,9 +232,9 @@ def repeated(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 if len(matches) + len(alone) >= 20_000:
                     yield batch(matches, alone)
                     matches, alone = [], []
-        yield batch(matches, alone)
+        yield batch(matches, alone + look.closed())
 
-    dealt = rows.repartition(n, "shingle", F.pmod(F.xxhash64("doc_id"), "parts")).drop("parts").sortWithinPartitions(*order)
+    dealt = rows.repartition(n, "shingle", F.pmod(F.xxhash64("doc_id"), "parts")).sortWithinPartitions(*order)
     found = written(dealt.mapInArrow(neighbours, f"doc_id {of}, start bigint, end bigint, other {of}, hash bigint"))
     alone = found.filter("hash is not null").select("doc_id", "start", "hash")
     equal = written(alone.groupBy("hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b"))
