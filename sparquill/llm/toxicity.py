@@ -20,12 +20,14 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.llm.bpe import Memo
 from sparquill.llm.common import kind, map_rows, written
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
@@ -66,11 +68,17 @@ class Model:
     log_k: float
     curve: tuple[float, ...]
 
+    @cached_property
+    def of(self) -> Memo:
+        """A word's score, that of its start, or 0; looked up once a word while the memo holds it."""
+        get = self.words.get
+        return Memo(lambda w: get(w) or get(w[:START] + "*", 0.0))
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of words, and (first word, word after the last, score) of each maximal segment."""
         words = _WORD.findall(text.lower()) if text else []
-        get = self.words.get
-        hits = [(i, s) for i, w in enumerate(words) if (s := get(w) or get(w[:START] + "*"))]
+        of = self.of
+        hits = [(i, s) for i, w in enumerate(words) if (s := of[w])]
         if not hits:
             return len(words), []
         scores, at, last = [], [], -1

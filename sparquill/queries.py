@@ -369,7 +369,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tfidf_topk": _search(FLAGSHIP, TFIDF()),
     "bm25_qtf": _search("license license rights the"),
     "bool_must": _search("+license the of"),
-    "bool_not": _search("license -apache NOT the"),
+    "bool_not": _search("license -apache NOT erthing"),
     "bool_and": _search("license AND the of"),
     "bool_mixed": _search('+the license OR reserved -apache "of the"'),
     "phrase_boost": _search('"of the" license'),
@@ -467,7 +467,7 @@ ORACLE: dict[str, str] = {
     "tfidf_topk": _search_sql(FLAGSHIP, "ln(n / df) * ln(1 + tf)"),
     "bm25_qtf": _search_sql("license license rights the"),
     "bool_must": _search_sql("+license the of"),
-    "bool_not": _search_sql("license -apache NOT the"),
+    "bool_not": _search_sql("license -apache NOT erthing"),
     "bool_and": _search_sql("license AND the of"),
     "bool_mixed": _search_sql('+the license OR reserved -apache "of the"'),
     "phrase_boost": _search_sql('"of the" license'),
