@@ -29,7 +29,7 @@ TITLE = r"^([^.!?\n]*)"
 
 
 def _docs(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return readers.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _tables(spark: SparkSession, d: str) -> build.Tables:

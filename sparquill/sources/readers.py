@@ -33,6 +33,24 @@ def detect_format(path: str, explicit: str | None = None) -> str:
     return next((f for s, f in _SUFFIX.items() if path.lower().endswith(s)), "jsonl")
 
 
+#: Bytes from which a table in few splits is dealt over all cores.
+SPREAD_BYTES = 4_000_000
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A scanned table over at least as many partitions as the session has cores, if it is worth a shuffle.
+
+    A file of one row group is one split, which leaves all cores but one idle
+    in what follows; tables in many splits stay as they are.
+    """
+    session = table.sparkSession
+    n = session.sparkContext.defaultParallelism
+    plan = table._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES or plan.toRdd().getNumPartitions() >= n:
+        return table
+    return table.repartition(n)
+
+
 def _plain(df: DataFrame, name: str) -> Column:
     """A scalar column as a string; other types are empty."""
     return F.col(f"`{name}`").cast("string") if isinstance(df.schema[name].dataType, _PLAIN) else F.lit("")
