@@ -9,6 +9,8 @@ Column expressions only: nothing is shuffled.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,7 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 _ZERO = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 """
 _ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: (license, a text that is that license or its notice). Texts may share a license, not a digest.
-KNOWN = (
+_NOTICES = (
     ("MIT", "MIT License\n" + _MIT), ("MIT", _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("ISC", "ISC License\n" + _ISC + _ISC_END), ("ISC", _ISC + _ISC_END), ("0BSD", _ZERO + _ISC_END), ("0BSD", "BSD Zero Clause License\n" + _ZERO + _ISC_END),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"),
@@ -44,6 +45,62 @@ KNOWN = (
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 )
 
+#: The name of a license, its SPDX identifiers besides, and what notices call it.
+NAMES = {
+    "MIT": ((), ("the MIT License", "the MIT License (MIT)", "the MIT")),
+    "ISC": ((), ("the ISC License",)),
+    "0BSD": ((), ("the BSD Zero Clause License", "the Zero-Clause BSD License")),
+    "Apache-2.0": ((), ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache 2.0")),
+    "BSD-2-Clause": ((), ("the BSD 2-Clause License", "the Simplified BSD License")),
+    "BSD-3-Clause": ((), ("the BSD 3-Clause License", "the New BSD License")),
+    "GPL-2.0": (("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+"), ("the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL v2", "the GPLv2")),
+    "GPL-3.0": (("GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+"), ("the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL v3", "the GPLv3")),
+    "LGPL-2.1": (("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1+"), ("the GNU Lesser General Public License, version 2.1", "the GNU Lesser General Public License v2.1", "the GNU LGPL v2.1", "the LGPLv2.1")),
+    "LGPL-3.0": (("LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0+"), ("the GNU Lesser General Public License, version 3", "the GNU Lesser General Public License v3.0", "the GNU LGPL v3", "the LGPLv3")),
+    "AGPL-3.0": (("AGPL-3.0-only", "AGPL-3.0-or-later"), ("the GNU Affero General Public License, version 3", "the GNU Affero General Public License v3.0", "the GNU AGPL v3", "the AGPLv3")),
+    "MPL-2.0": ((), ("the Mozilla Public License, Version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0")),
+    "BSL-1.0": ((), ("the Boost Software License, Version 1.0",)),
+    "Unlicense": ((), ("the Unlicense",)),
+    "Zlib": ((), ("the zlib License",)),
+    "CC0-1.0": ((), ("CC0 1.0", "CC0 1.0 Universal")),
+} | {
+    f"CC-{kind}-4.0": ((), (f"CC {kind} 4.0", f"a Creative Commons {name} 4.0 International License", f"the Creative Commons {name} 4.0 International License"))
+    for kind, name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+}
+#: What stands before the name in a notice.
+OPENINGS = tuple(f"{who}{how} under {terms}" for who, how in (("", "released"), ("", "licensed"), ("", "distributed"), ("this work is ", "licensed"), ("this software is ", "licensed"), ("this project is ", "licensed"), ("this file is ", "licensed")) for terms in ("", "the terms of "))
+
+_FULL = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSL-1.0", "Unlicense", "Zlib", "CC0-1.0")
+#: Where the terms end: what follows is advice on applying them, which copies may leave out.
+_END = "END OF TERMS AND CONDITIONS"
+_BSD_TITLES = {"BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",)}
+
+
+def _whole() -> list[tuple[str, str]]:
+    """The full texts, each in the forms that its copies have."""
+    texts = {k: pkgutil.get_data(__name__, f"license_texts/{k}.txt").decode() for k in _FULL}
+    third = texts["BSD-3-Clause"].index("3. Neither")
+    texts["BSD-2-Clause"] = texts["BSD-3-Clause"][:third] + texts["BSD-3-Clause"][texts["BSD-3-Clause"].index("THIS SOFTWARE", third) :]
+    out = list(texts.items())
+    out += [(k, t[: t.index(_END) + len(_END)]) for k, t in texts.items() if _END in t]
+    out += [(k, f"{title}\n{texts[k]}") for k, titles in _BSD_TITLES.items() for title in titles]
+    # Lists without numbers, as with bullets or dashes.
+    out += [(k, t.replace("1. Red", "* Red").replace("2. Red", "* Red").replace("3. Neither", "* Neither")) for k, t in list(out) if k in _BSD_TITLES]
+    head = texts["Apache-2.0"].index('Licensed under the Apache License, Version 2.0 (the "License")')
+    out.append(("Apache-2.0", texts["Apache-2.0"][head:]))
+    return out
+
+
+def _lines() -> list[tuple[str, str]]:
+    """SPDX lines, and openings of notices crossed with names."""
+    out = [(k, f"SPDX-License-Identifier: {i}") for k, (more, _) in NAMES.items() for i in (k, *more)]
+    out += [(k, f"{opening}{name}") for k, (_, names) in NAMES.items() for name in names for opening in OPENINGS]
+    return [*out, ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");')]
+
+
+#: (license, a text that is that license or its notice). Texts may share a license, not a digest.
+KNOWN = (*_NOTICES, *_whole(), *_lines())
+
 #: Known texts at most.
 MOST = 1_000
 
@@ -73,11 +130,14 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     spark = docs.sparkSession
     table = spark.createDataFrame(list(known), "license string, body string").select(digest(F.col("body")).alias("d"), "license")
     found = table.groupBy("d").agg(F.min("license").alias("license"))
-    by_digest = F.create_map(*(F.lit(x) for r in found.orderBy("d").collect() for x in r))  # as many as ``known``
+    ours = found.orderBy("d").collect()
+    by_digest = F.create_map(*(F.lit(x) for r in ours for x in r))  # as many as ``known``
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", digest(text).alias("text_sha256"), F.split(text, "\n").alias("__lines"))
     own = own.join(F.broadcast(found), F.col("text_sha256") == F.col("d"), "left").withColumnRenamed("license", "text_license")
-    lines = F.filter(F.transform("__lines", lambda x: F.element_at(by_digest, digest(x))), lambda x: x.isNotNull())
+    # A set of literals is hashed, a map is searched from its start: only hits are looked up in it.
+    hits = F.filter(F.transform("__lines", digest), lambda x: x.isin([r.d for r in ours]))
+    lines = F.transform(hits, lambda x: F.element_at(by_digest, x))
     own = own.withColumn("__of", lines)
     return own.select("doc_id", "text_sha256", "text_license", F.array_join(F.array_sort(F.array_distinct("__of")), ",").alias("line_licenses"), F.size("__of").cast("bigint").alias("n_license_lines"))
 

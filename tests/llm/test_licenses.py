@@ -1,3 +1,5 @@
+import pkgutil
+
 import duckdb
 
 from sparquill.llm import licenses
@@ -23,3 +25,22 @@ def test_sql_gives_the_same(spark, rnd):
     want = duckdb.sql(licenses.scan_sql()).fetchall()
     got = [tuple(r) for r in licenses.scan(make(spark, rows)).select("doc_id", "text_sha256", "text_license", "line_licenses", "n_license_lines").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_full_texts_and_notices_of_common_licenses(spark):
+    full = {k: pkgutil.get_data(licenses.__name__, f"license_texts/{k}.txt").decode() for k in ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")}
+    full["BSD-2-Clause"] = "Copyright (c) 2020 Somebody\n" + "".join(x for x in full["BSD-3-Clause"].splitlines(True) if not x.startswith("3."))
+    rows = [(i, t.replace("\n", "\r\n") + "\n") for i, t in enumerate(full.values())]
+    notices = {
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Released under the Apache License, Version 2.0.": "Apache-2.0", "# SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0",
+        "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause", "Distributed under the terms of the Mozilla Public License, Version 2.0.": "MPL-2.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+        "This file is licensed under the GNU Lesser General Public Licence, version 2.1": "LGPL-2.1", "Licensed under the Bsomething License.": "",
+    }
+    rows += [(100 + i, f"first\n{n}\nlast") for i, n in enumerate(notices)]
+    documents = make(spark, rows)
+    got = {r.doc_id: r for r in licenses.scan(documents).collect()}
+    assert [got[i].text_license for i in range(len(full))] == list(full)
+    assert [got[100 + i].line_licenses for i in range(len(notices))] == list(notices.values())
+    documents = documents.toPandas()
+    want = duckdb.sql(licenses.scan_sql()).fetchall()
+    assert sorted(want, key=repr) == sorted(map(tuple, got.values()), key=repr)
