@@ -3,7 +3,8 @@
 Candidate strings are runs of token characters. In each stretch of a class
 (hexadecimal, or letters and digits of both) a window slides one character at
 a time; its Shannon entropy follows from counts that change by one character
-in and one out. Windows over the class's threshold are merged to spans. An
+in and one out. Windows over the class's threshold are merged to spans; of a
+span that a named pattern covers in part, what is left is a span. An
 allow list suppresses what looks random but is public: UUIDs, digests that are
 announced as such, placeholders, alphabets.
 """
@@ -13,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +69,18 @@ def allowed(text: str, start: int, end: int) -> bool:
     return bool(_UUID.search(s) or _PUBLIC.search(s) or _ANNOUNCED.search(text[max(0, start - 24) : start]))
 
 
+def outside(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the sorted spans of ``base`` leave of a..b, where that is a window or more."""
+    out = []
+    for x, y in [*base, (b, b)]:
+        if min(x, b) - a >= WINDOW:
+            out.append((a, min(x, b)))
+        a = max(a, y)
+    return out
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start and then kind; entropy spans touch no other span."""
+    """(kind, start, end) in code points, by start and then kind; entropy spans overlap no other span."""
     if not text:
         return []
     low = text.lower()
@@ -80,25 +93,26 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if runs:
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
         base = sorted((a, b) for _, a, b in out)
+        ends = list(accumulate((b for _, b in base), max))  # of all up to each
+        at = 0
         more: list[tuple[int, int]] = []
         for a, b in runs:
             if allowed(text, a, b):
                 continue
+            while at < len(ends) and ends[at] <= a:
+                at += 1
+            near = base[at : bisect_left(base, (b,))]
             for chars, bits, needs in CLASSES:
                 for m in chars.finditer(text, a, b):
-                    more += [(m.start() + x, m.start() + y) for x, y in hot_windows(m.group(), bits) if needs.match(m.group()[x:y])]
-        at = 0
+                    hot = [s for x, y in hot_windows(m.group(), bits) for s in outside(m.start() + x, m.start() + y, near)]
+                    more += [(x, y) for x, y in hot if needs.match(text[x:y])]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(more):
             if merged and a <= merged[-1][1]:
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        for a, b in merged:
-            while at < len(base) and base[at][1] <= a:
-                at += 1
-            if not any(x < b and a < y for x, y in base[max(0, at - 3) :][:6]):
-                out.append(("entropy", a, b))
+        out += [("entropy", a, b) for a, b in merged]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
