@@ -6,7 +6,8 @@ a time; its Shannon entropy follows from counts that change by one character
 in and one out. Windows over the class's threshold are merged to spans; of a
 span that a named pattern covers in part, what is left is a span. An
 allow list suppresses what looks random but is public: UUIDs, digests that are
-announced as such, placeholders, alphabets.
+announced as such, placeholders, alphabets. Of these only the announced digest
+is suppressed with its whole run, the others with the windows that they touch.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ CLASSES = (
 )
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-_PUBLIC = re.compile(r"(?i)example|sample|placeholder|dummy|xxxx|abcdefghij|0123456789|1234567890|changeme")
-_ANNOUNCED = re.compile(r"(?i)(sha-?(1|224|256|384|512)|md5|commit|digest|checksum|integrity|etag|rev(ision)?)[\"']?\s*[:=-]?\s*[\"']?$")
+_PUBLIC = re.compile(r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|example|sample|placeholder|dummy|xxxx|abcdefghij|0123456789|1234567890|changeme")
+_ANNOUNCED = re.compile(r"(?i)(?<![a-z0-9])(sha-?(1|224|256|384|512)|md5|commit|digest|checksum|integrity|etag|rev(ision)?)[\"']?\s*[:=-]?\s*[\"']?$")
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -63,10 +64,12 @@ def hot_windows(s: str, threshold: float) -> list[tuple[int, int]]:
     return out if n >= WINDOW else []
 
 
-def allowed(text: str, start: int, end: int) -> bool:
-    """Whether the candidate at start..end is public by its form or by what stands before it."""
-    s = text[start:end]
-    return bool(_UUID.search(s) or _PUBLIC.search(s) or _ANNOUNCED.search(text[max(0, start - 24) : start]))
+def suspects(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of the candidate at start..end that are not public by their form; none if what stands before announces it."""
+    if _ANNOUNCED.search(text, max(0, start - 24), start):
+        return []
+    public = sorted(m.span() for r in (_UUID, _PUBLIC) for m in r.finditer(text, start, end))
+    return outside(start, end, public)
 
 
 def outside(a: int, b: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,13 +100,12 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         at = 0
         more: list[tuple[int, int]] = []
         for a, b in runs:
-            if allowed(text, a, b):
-                continue
+            parts = suspects(text, a, b)
             while at < len(ends) and ends[at] <= a:
                 at += 1
             near = base[at : bisect_left(base, (b,))]
             for chars, bits, needs in CLASSES:
-                for m in chars.finditer(text, a, b):
+                for m in (m for part in parts for m in chars.finditer(text, *part)):
                     hot = [s for x, y in hot_windows(m.group(), bits) for s in outside(m.start() + x, m.start() + y, near)]
                     more += [(x, y) for x, y in hot if needs.match(text[x:y])]
         merged: list[tuple[int, int]] = []

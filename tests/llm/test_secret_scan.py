@@ -64,6 +64,16 @@ def test_secrets_beside_a_pattern_in_one_run():
         assert ("entropy" not in kinds) or max(len(x) for x in S.redact(run).replace(">", "<").split("<")) < 20
 
 
+def test_the_public_hides_only_itself():
+    key = "x7Kq9LmP2sVt4RwY8bNc3ZdQ6hJg5FaTu1WvXe0B"
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for t in (f"samples/cfg/{key}", f"{uuid}/{key}", f"{key}/{uuid}", f"{key}_xxxx", f"1234567890-{key}", f"prev: {key}", f"nosha1 {key}"):
+        assert [k for k, _, _ in S.spans(t)] == ["entropy"], t
+        assert key not in S.redact(t) and (uuid in S.redact(t)) == (uuid in t), t
+    for t in (f"rev: {key}", f"git_commit: {key}", f"sha256 {key}", f"my revision: '{key}'", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", uuid, f"{uuid}/{uuid}"):
+        assert not [k for k, _, _ in S.spans(t) if k == "entropy"], t
+
+
 def test_scan_and_redact(spark, rnd, odd):
     rows = [*odd, (50, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'), (51, words(rnd, 500))]
     docs = make(spark, rows, "spans kind __masked2")
