@@ -291,7 +291,7 @@ def expunge_deletes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_and_qrels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items are queries; a document whose text holds the item's first words is relevant, more so if it holds all."""
+    """Benchmark items are queries; judged are documents of the run alone, see ``_judged``."""
     run = batch_topk(spark, d)
     return run, _judged(spark, d)
 
