@@ -7,13 +7,14 @@ bin count. A partition whose count meets the bound is certified: no packing of
 its pieces has fewer bins. A partition with a gap releases the pieces of its
 emptiest bins; the released pieces of all partitions are exchanged (dealt anew
 over fewer partitions) and packed again, until no gap is left, one partition
-has seen all that was released, or an exchange has not halved what is left.
+has seen all that was released, or an exchange has not made the sequences fewer.
 
 Only lengths and keys move between machines, never texts or ids.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -105,7 +106,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _packed(df: DataFrame, capacity: int, turn: int, last: bool) -> DataFrame:
-    """One turn of all partitions; released rows have no sequence."""
+    """One turn of all partitions; released rows have no sequence, but the offset they had."""
     more = "sequence_id bigint, offset bigint, turn int, partition_bins bigint, partition_bound bigint"
     schema = f"doc_id {kind(df, 'doc_id')}, {PIECE}, {more}"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -127,7 +128,7 @@ def _packed(df: DataFrame, capacity: int, turn: int, last: bool) -> DataFrame:
             keep = ~np.isin(bins, freed[space[freed] > 0])
         n = len(x)
         cols = [t[c] for c in names[:5]] + [
-            pa.array(seq, mask=~keep), pa.array(offsets, mask=~keep), pa.array(np.full(n, turn, np.int32)),
+            pa.array(seq, mask=~keep), pa.array(offsets), pa.array(np.full(n, turn, np.int32)),
             pa.array(np.full(n, len(space))), pa.array(np.full(n, bound)),
         ]
         yield from pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], names=names).to_batches(max_chunksize=10_000)
@@ -144,18 +145,21 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = PIECES) ->
     separate pieces.
     """
     left = written(items)
-    done, turn = None, 0
-    before = n = left.count()
+    done, turn, closed = None, 0, 0
+    n, before, total = left.count(), math.inf, 0
     while True:
         parts = max(1, -(-n // per_partition))
-        last = turn > 0 and (parts == 1 or 2 * n > before)
-        before = n
+        last = turn > 0 and (parts == 1 or total >= before)
+        before = total if turn else math.inf
         dealt = left.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
         now = written(_packed(dealt, capacity, turn, last))
         placed = now.filter("sequence_id is not null")
         done = placed if done is None else done.unionByName(placed)
         released = now.filter("sequence_id is null")
-        n = released.count()
+        # Each sequence has one piece at offset 0.
+        first = F.col("offset") == 0
+        n, opened, kept = now.agg(F.count_if(F.col("sequence_id").isNull()), F.count_if(first), F.count_if(first & F.col("sequence_id").isNotNull())).first()
+        total, closed = closed + opened, closed + kept
         if not n:
             return done
         left, turn = released.select("doc_id", "piece", "start", "length", "ids_crc32"), turn + 1

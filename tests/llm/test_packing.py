@@ -75,3 +75,11 @@ def test_exchange_rounds_close_gaps(spark, rnd):
     alone = len(packing.best_fit_decreasing(np.array(sorted(n, reverse=True)), 1024)[2])
     assert len({r.sequence_id for r in out}) <= 1.02 * alone + 1
     assert packing.pack(items.limit(0)).count() == 0
+
+
+def test_exchanges_go_on_while_sequences_get_fewer(spark, rnd):
+    n = [rnd.randrange(200, 520) for _ in range(1500)]
+    items = spark.createDataFrame([(i, 0, 0, x, i) for i, x in enumerate(n)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    out = packing.pack(items, per_partition=60).collect()
+    assert sorted(r.length for r in out) == sorted(n) and max(r.turn for r in out) > 1
+    assert len({r.sequence_id for r in out}) <= 560  # the bound is 524; 565 after two turns
