@@ -53,7 +53,16 @@ def written(df: DataFrame, *, temporary: bool = True) -> DataFrame:
     df.write.parquet(path)
     if temporary:
         atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` gave and that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            _remove(t.sparkSession, path)
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
