@@ -8,14 +8,13 @@ cluster shares, so that a lost executor costs one task and not a lineage.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.sources.readers import spread
+from sparquill.sources.readers import shared_dir, spread
 
 #: Rows of text per Arrow batch; with texts of a few KB a batch is a few MB.
 TEXT_ROWS = 512
@@ -25,15 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparquill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
