@@ -14,6 +14,9 @@ class Config:
     num_shards: int = 1
     virtual_nodes_per_shard: int = 150
     max_buffer_docs: int = 100_000
+    max_buffer_mb: int = 256
+    idle_flush_seconds: int = 30
+    merge_after_flush: bool = True
     refresh_interval_ms: int = 1000
     segments_per_tier: int = 15
     max_merge_at_once: int = 10

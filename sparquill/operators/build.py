@@ -24,23 +24,23 @@ class Tables:
         return Tables(*(t.cache() for t in (self.postings, self.terms, self.corpus, self.lengths)))
 
 
-def analyzed(docs: DataFrame, analyzer: Analyzer, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, toks, dl)."""
-    return docs.select(F.col(id_col).alias("doc_id"), analyzer.column(text).alias("toks")).withColumn("dl", F.size("toks"))
+def analyzed(docs: DataFrame, analyzer: Analyzer, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, toks, dl) and the extra columns."""
+    return docs.select(F.col(id_col).alias("doc_id"), *extra, analyzer.column(text).alias("toks")).withColumn("dl", F.size("toks"))
 
 
-def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(term, doc_id, tf, dl): one row for each distinct term of a document.
+def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, tf, dl) and extra columns of the document: one row for each distinct term of a document.
 
     Terms are exploded at once, so that grouping runs on flat rows with
     map-side partial counts; stems come from a join on distinct terms.
     """
     analyzer = analyzer or Analyzer()
-    flat = analyzed(docs, analyzer, text, id_col).select("doc_id", "dl", F.explode("toks").alias("term"))
-    counted = flat.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    flat = analyzed(docs, analyzer, text, id_col, extra).select("doc_id", "dl", *extra, F.explode("toks").alias("term"))
+    counted = flat.groupBy("term", "doc_id", "dl", *extra).agg(F.count("*").cast("int").alias("tf"))
     if analyzer.stemming:
-        counted = analyzer.stemmed(counted).groupBy("term", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
-    return counted.select("term", "doc_id", "tf", "dl")
+        counted = analyzer.stemmed(counted).groupBy("term", "doc_id", "dl", *extra).agg(F.sum("tf").cast("int").alias("tf"))
+    return counted.select("term", "doc_id", "tf", "dl", *extra)
 
 
 def term_stats(post: DataFrame, corpus: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
@@ -72,23 +72,33 @@ def field_map(docs: DataFrame, fields: dict[str, Column | str]) -> DataFrame:
     return docs.select("doc_id", F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("fields"))
 
 
-def resolved_fields(docs: DataFrame) -> DataFrame:
-    """(doc_id, fields): a document without fields has its text as ``body``."""
+def resolved_fields(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fields) and the extra columns: a document without fields has its text as ``body``."""
     whole = F.create_map(F.lit("body"), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", F.when(F.size("fields") > 0, F.col("fields")).otherwise(whole).alias("fields"))
+    return docs.select("doc_id", *extra, F.when(F.size("fields") > 0, F.col("fields")).otherwise(whole).alias("fields"))
 
 
-def field_terms(docs: DataFrame, analyzer: Analyzer | None = None) -> DataFrame:
-    """(doc_id, field, len, term, tf) of (doc_id, fields)."""
+def field_terms(docs: DataFrame, analyzer: Analyzer | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, field, len, term, tf) and extra columns of (doc_id, fields); a field without terms has a row with none."""
     analyzer = analyzer or Analyzer()
-    flat = docs.select("doc_id", F.explode("fields").alias("field", "body")).select("doc_id", "field", analyzer.column("body").alias("toks"))
-    flat = flat.select("doc_id", "field", F.size("toks").alias("len"), F.explode_outer("toks").alias("term"))
-    counted = flat.groupBy("doc_id", "field", "len", "term").agg(F.count("term").cast("int").alias("tf"))
+    key = ["doc_id", *extra, "field"]
+    flat = docs.select("doc_id", *extra, F.explode("fields").alias("field", "body")).select(*key, analyzer.column("body").alias("toks"))
+    flat = flat.select(*key, F.size("toks").alias("len"), F.explode_outer("toks").alias("term"))
+    counted = flat.groupBy(*key, "len", "term").agg(F.count("term").cast("int").alias("tf"))
     if analyzer.stemming:
-        counted = analyzer.stemmed(counted).groupBy("doc_id", "field", "len", "term").agg(F.sum("tf").cast("int").alias("tf"))
+        counted = analyzer.stemmed(counted).groupBy(*key, "len", "term").agg(F.sum("tf").cast("int").alias("tf"))
     return counted
 
 
+def pseudo_postings(flat: DataFrame, fields: tuple[FieldWeight, ...], means: dict[str, float]) -> DataFrame:
+    """(term, doc_id, tf, dl) over the pseudo frequency of rows (doc_id, field, len, term, tf), with known mean lengths of fields."""
+    table = flat.sparkSession.createDataFrame([(f.name, float(f.weight), float(f.b), float(means.get(f.name) or 1.0)) for f in fields], "field string, w double, b double, mean double")
+    flat = flat.filter("term is not null").join(F.broadcast(table), "field")  # as many rows as configured fields
+    part = F.col("w") * F.col("tf") / (F.lit(1.0) - F.col("b") + F.col("b") * F.col("len") / F.col("mean"))
+    post = flat.groupBy("term", "doc_id").agg(F.sum(part).alias("p"))
+    return post.select("term", "doc_id", F.greatest(F.lit(1), F.round(F.col("p") * 1000.0).cast("int")).alias("tf"), F.lit(0).alias("dl"))
+
+
 def field_build(docs: DataFrame, fields: tuple[FieldWeight, ...] = DEFAULT_FIELDS, analyzer: Analyzer | None = None) -> Tables:
     """Tables over the pseudo frequency: tf is in thousandths, a sum of weighted, length-normalised field frequencies.
 

@@ -26,7 +26,11 @@ def reciprocal_rank(lists: DataFrame, k: int, rrf_k: int = RRF_K, digits: int |
     return _ranked(lists.groupBy("doc_id").agg(F.sum(weight / (F.lit(float(rrf_k)) + F.col("rank"))).alias("score")), k, digits)
 
 
+def weights_of(sizes: DataFrame) -> DataFrame:
+    """(shard, weight) of (shard, n): each shard's share of the documents."""
+    return sizes.crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("all")))).select("shard", (F.col("n") / F.col("all").cast("double")).alias("weight"))  # one row
+
+
 def shard_weights(sharded: DataFrame) -> DataFrame:
-    """(shard, weight): each shard's share of the documents."""
-    n = sharded.groupBy("shard").agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("all")))).select("shard", (F.col("n") / F.col("all").cast("double")).alias("weight"))
+    """The same of one row a document."""
+    return weights_of(sharded.groupBy("shard").agg(F.count("*").alias("n")))

@@ -45,6 +45,13 @@ class TieredPolicy:
         t = self.expunge_deletes_threshold
         return [s for s in segments if s["doc_count"] and s["deleted_docs"] / s["doc_count"] >= t] if 0 < t < 1 else []
 
+    def select_expunge_frame(self, segments: DataFrame) -> DataFrame:
+        """The same choice over a table of segments."""
+        if not 0 < self.expunge_deletes_threshold < 1:
+            return segments.limit(0)
+        share = F.col("deleted_docs") / F.when(F.col("doc_count") > 0, F.col("doc_count")).cast("double")
+        return segments.filter(share >= F.lit(float(self.expunge_deletes_threshold)))
+
     def select_merge_frame(self, segments: DataFrame) -> DataFrame:
         """The same choice over a table (segment_id, level, doc_count, deleted_docs, size_bytes); ties by segment_id."""
         share = F.when(F.col("doc_count") > 0, F.col("deleted_docs") / F.col("doc_count").cast("double")).otherwise(0.0)

@@ -113,6 +113,29 @@ def search_batch(tables: Tables, queries: DataFrame, k: int = DEFAULT_K, scorer:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def per_shard(tables: Tables, query: ParsedQuery, k: int, scorer: Scorer | None = None, toks: DataFrame | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(shard, doc_id, score, rank) of each shard's k best by its own statistics, and (shard, n, avgdl).
+
+    Postings and lengths have a column ``shard``.
+    """
+    sizes = tables.lengths.groupBy("shard").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = tables.postings.filter(F.col("term").isin(query.terms))
+    df = post.groupBy("shard", "term").agg(F.count("*").alias("df"))
+    wanted = weights_frame(tables.postings.sparkSession, query.weights)
+    hits = post.join(F.broadcast(wanted), "term").join(F.broadcast(df), ["shard", "term"]).join(F.broadcast(sizes), "shard")  # shards times terms
+    hits = hits.groupBy("shard", "doc_id").agg(F.sum(F.col("qtf") * impact(scorer or BM25())).alias("score"))
+    if query.must:
+        hits = hits.join(having_all(tables, query.must), "doc_id", "left_semi")
+    if query.excluded:
+        hits = hits.join(having_any(tables, query.excluded), "doc_id", "left_anti")
+    if query.phrases and toks is not None:
+        hits = boosted(hits, tables, toks, query.phrases, boost)
+    if digits is not None:
+        hits = hits.withColumn("score", F.round("score", digits))
+    order = Window.partitionBy("shard").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), sizes
+
+
 def explain(tables: Tables, query: ParsedQuery, doc_id, scorer: Scorer | None = None) -> DataFrame:
     """(term, tf, dl, df, qtf, score): what each term gives one document."""
     wanted = weights_frame(tables.postings.sparkSession, query.weights)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -43,13 +44,26 @@ class Follower:
         self.index, self.dead_letters = index, dead_letters
         #: Gives the rows of a batch that can't be applied; by default those without an id, or texts of index changes.
         self.bad = check or (lambda d: d.filter("op <> 'reset' and (doc_id is null or doc_id = '' or (op = 'index' and coalesce(text, '') = ''))"))
-        self.attempts: dict[int, int] = {}
         self.set_aside = 0
 
     @property
     def applied(self) -> int:
         return self.index.manifest["seq"]
 
+    def _attempts(self) -> dict[str, int]:
+        """Failed attempts by change; kept beside the index, so that they add up over restarts."""
+        names = [n for n in self.index.files.names("attempts") if n.endswith(".json")]
+        return json.loads(self.index.files.read(f"attempts/{names[-1]}")) if names else {}
+
+    def _tried(self, seq: int) -> int:
+        """Counts one more attempt at a change and returns how many there were; those before it are done with."""
+        old = self.index.files.names("attempts")
+        n = self._attempts().get(str(seq), 0) + 1
+        self.index.files.create(f"attempts/{seq:019d}-{n:06d}.json", json.dumps({str(seq): n}))
+        for name in old:
+            self.index.files.delete(f"attempts/{name}")
+        return n
+
     def batch(self, changes: DataFrame, _: int = 0) -> int:
         """Applies one batch; safe to repeat, as what is applied already is skipped."""
         new = fresh(changes, self.applied).cache()
@@ -60,7 +74,7 @@ class Follower:
             bad = self.bad(new)
             first = bad.agg(F.min("seq")).first()[0]
             if first is not None:
-                tried = self.attempts[first] = self.attempts.get(first, 0) + 1
+                tried = self._tried(first)
                 if tried < ATTEMPTS:
                     self.index.apply(new.filter(F.col("seq") < first))
                     raise ValueError(f"change {first} cannot be applied, attempt {tried}")
@@ -70,8 +84,7 @@ class Follower:
                 good = new.join(bad.select("seq"), "seq", "left_anti")
                 high = new.agg(F.max("seq")).first()[0]
                 self.index.apply(good)
-                self.index.manifest["seq"] = high
-                self.index._save()
+                self.index.skip_to(high)
             else:
                 self.index.apply(new)
         finally:
@@ -79,7 +92,7 @@ class Follower:
         return self.applied
 
     def start(self, path: str, checkpoint: str, once: bool = True, interval: str = "10 seconds", files: int = 100) -> StreamingQuery:
-        """Follows the Parquet files of a change log; ``once`` stops when there are no more."""
-        stream = self.index.spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files).parquet(path)
+        """Follows the batches of a change log; ``once`` stops when there are no more."""
+        stream = self.index.spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
         out = stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (out.trigger(availableNow=True) if once else out.trigger(processingTime=interval)).start()

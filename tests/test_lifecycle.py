@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparquill.config import Config
 from sparquill.operators.lifecycle import Index
 from sparquill.operators.policy import MB, TieredPolicy
+from sparquill.operators.store import Conflict
 from sparquill.streaming.follow import ATTEMPTS, Follower, Gap
 
 DOCS = [
@@ -88,9 +89,12 @@ def test_fields(spark, tmp_path):
 
 def test_format_is_checked(spark, tmp_path):
     index = Index(spark, f"file://{tmp_path}/i")
-    index.files.replace("manifest.json", index.files.read("manifest.json").replace('"format": 1', '"format": 0'))
+    index.manifests.save(index.manifest | {"format": 1, "version": 99})
     with pytest.raises(ValueError):
         Index(spark, f"file://{tmp_path}/i")
+    index.files.create("old/manifest.json", "{}")
+    with pytest.raises(ValueError):
+        Index(spark, f"file://{tmp_path}/i/old")
 
 
 def test_policy_as_list_and_as_table(spark):
@@ -144,3 +148,164 @@ def test_order_gaps_and_dead_letters(spark, tmp_path):
     assert sorted(h["doc_id"] for h in index.search("red", snippet=False)) == ["w", "x", "z"]
     follower.batch(changes(spark, (6, "reset", None, None), (7, "index", "n", "red")))
     assert [h["doc_id"] for h in index.search("red", snippet=False)] == ["n"]
+
+
+def test_log_goes_on_after_a_stop_before_the_manifest(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    index = Index(spark, path)
+    index.upsert(DOCS[:1])
+
+    class Stopped(Exception):
+        pass
+
+    def stop():
+        raise Stopped
+
+    index._save = stop
+    with pytest.raises(Stopped):
+        index.upsert([{"id": "x", "text": "red logged"}, {"id": "y", "text": "red too"}])
+    again = Index(spark, path)
+    assert again.manifest["seq"] == 3 and [i for i, _ in hits(again, "logged")] == ["x"]
+    again.upsert([{"id": "z", "text": "red later"}])
+    log = sorted((r.seq, r.doc_id) for r in again.changelog().collect())
+    assert log == [(1, "a"), (2, "x"), (3, "y"), (4, "z")] and again.log_faults().count() == 0
+    with pytest.raises(Conflict):  # the first writer goes on as if it were alone
+        del index._save
+        index.manifest["seq"] = 1
+        index.upsert([{"id": "w", "text": "red"}])
+    assert Index(spark, path).changelog().count() == 4
+
+
+def test_a_reset_in_the_log_is_replayed(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i")
+    index.upsert(DOCS[:2])
+    index.flush()
+    index._save = lambda: None
+    index.apply(changes(spark, (3, "reset", None, None), (4, "index", "n", "red")))
+    again = Index(spark, f"file://{tmp_path}/i")
+    assert [i for i, _ in hits(again, "red")] == ["n"] and again.manifest["floor"] == 3
+
+
+def test_a_stop_between_generation_and_manifest_loses_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    index = Index(spark, path)
+    index.upsert(DOCS)
+    index.flush()
+    index.upsert([{"id": "a", "text": "only green now"}])
+    index.delete(["b"])
+    before = {q: hits(index, q) for q in ("red", "green", "blue")}
+    index._save = lambda: None
+    index.flush()
+    again = Index(spark, path)
+    assert again.pending() == 2 and {q: hits(again, q) for q in before} == before
+    assert len(again.files.names("gen")) == 2
+    again.flush()
+    assert again.vacuum() == 1 and {q: hits(again, q) for q in before} == before
+    assert {q: hits(Index(spark, path), q) for q in before} == before
+
+
+def test_a_torn_manifest_is_passed_over(spark, tmp_path):
+    path = f"file://{tmp_path}/i"
+    index = Index(spark, path)
+    index.upsert(DOCS)
+    index.flush()
+    index.files.create(f"manifest/{index.manifest['version'] + 1:012d}.json", '{"segments": [')
+    again = Index(spark, path)
+    assert again.manifest["segments"] == index.manifest["segments"] and len(hits(again, "red")) == 2
+    assert again.vacuum() == 0
+
+
+def test_faults_of_a_log_are_found(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i")
+    index.apply(changes(spark, (1, "index", "a", "x"), (2, "index", "b", "x"), (2, "index", "b", "x"), (5, "index", "c", "x")))
+    assert sorted(map(tuple, index.log_faults().collect())) == [(2, 2), (3, 0)]
+
+
+def test_figures_of_the_manifest_are_those_of_the_live_view(spark, tmp_path):
+    rnd = random.Random(9)
+    index = Index(spark, f"file://{tmp_path}/i", Config(scorer="bm25f", merge_after_flush=False))
+    now = {}
+    for turn in range(4):
+        docs = [{"id": str(rnd.randrange(12)), "text": " ".join(rnd.choice("red blue green sky".split()) for _ in range(rnd.randrange(1, 9)))} for _ in range(8)]
+        docs = list({d["id"]: d for d in docs}.values())
+        index.upsert(docs)
+        now |= {d["id"]: d["text"] for d in docs}
+        gone = [str(rnd.randrange(12))]
+        index.delete(gone)
+        now.pop(gone[0], None)
+        if turn != 3:
+            index.flush()
+        v = index.view()
+        assert (v.n, v.total, v.fields["body"]) == (len(now), sum(len(t.split()) for t in now.values()), (len(now), sum(len(t.split()) for t in now.values())))
+        assert {r.doc_id: r.text for r in index.documents().collect()} == now
+    plain = Index(spark, f"file://{tmp_path}/plain", Config(scorer="bm25f"))
+    plain.upsert([{"id": i, "text": t} for i, t in now.items()])
+    assert sorted(hits(index, "red sky")) == sorted(hits(plain, "red sky"))
+    assert index.compact(index.manifest["segments"]) and sorted(hits(index, "red sky")) == sorted(hits(plain, "red sky"))
+
+
+def test_a_search_reads_its_terms_and_a_warm_one_the_cache(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i")
+    index.upsert(DOCS)
+    index.flush()
+    index.upsert([{"id": "b", "text": "a new red car"}])
+    index.flush()
+    cold = hits(index, "red blue")
+    ranked, _ = index.ranked(index.parse("red blue"), 10)
+    text = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [" in text and "InMemoryTableScan" not in text.replace("InMemoryTableScan [doc_id", "")  # void documents are in memory
+    assert index._texts(["a"], True)._jdf.queryExecution().executedPlan().toString().count("EqualTo(doc_id,a)") + index._texts(["a", "b"], True)._jdf.queryExecution().executedPlan().toString().count("In(doc_id, [a,b])") >= 1
+    assert index.warm(3) > 0 and index.health()["warm"]
+    common = sorted(index.warmed[1])
+    ranked, _ = index.ranked(index.parse(common[0]), 10)
+    assert "InMemoryTableScan [term" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert hits(index, "red blue") == cold
+    index.upsert([{"id": "q", "text": "red"}])
+    assert not index.health()["warm"] and "q" in [i for i, _ in hits(index, "red")]
+
+
+def test_missing_generations_degrade_a_search(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i")
+    for d in DOCS[:2]:
+        index.upsert([d])
+        index.flush()
+    assert not index.search("red").degraded
+    lost = index.manifest["segments"][0]["path"]
+    index.files.delete(f"{lost}/postings/_SUCCESS")
+    again = Index(spark, f"file://{tmp_path}/i")
+    found = again.search("red")
+    assert [h["doc_id"] for h in found] == ["b"] and found.degraded and again.health()["status"] == "degraded"
+    again.files.delete(f"{index.manifest['segments'][1]['path']}/postings/_SUCCESS")
+    with pytest.raises(OSError):
+        again.search("red")
+
+
+def test_flushes_and_merges_by_themselves(spark, tmp_path):
+    index = Index(spark, f"file://{tmp_path}/i", Config(max_buffer_docs=2, segments_per_tier=2, idle_flush_seconds=60))
+    index.upsert(DOCS[:2])
+    assert index.pending() == 0 and len(index.manifest["segments"]) == 1
+    index.delete(["a", "zz"])  # deletions fill it too
+    assert index.pending() == 0 and index.manifest["segments"][0]["deleted_docs"] == 1
+    index.upsert(DOCS[2:3])
+    assert not index.flush_if_idle(index.manifest["changed_at"] + 59) and index.pending() == 1
+    assert index.flush_if_idle(index.manifest["changed_at"] + 61) and index.pending() == 0
+    index.upsert([DOCS[0], DOCS[3]])  # a third generation of the level: the policy merges
+    assert [s["level"] for s in index.manifest["segments"]] == [1]
+    assert sorted(r.doc_id for r in index.documents().collect()) == ["a", "b", "c", "d"]
+    small = Index(spark, f"file://{tmp_path}/s", Config(max_buffer_mb=0))
+    small.upsert(DOCS[:1])
+    assert small.pending() == 0
+    assert small.vacuum(log=True) == 0 and [i for i, _ in hits(small, "red")] == ["a"]
+
+
+def test_attempts_add_up_over_restarts(spark, tmp_path):
+    bad = changes(spark, (1, "index", "a", "red"), (2, "index", "", "red"))
+    for n in range(ATTEMPTS):
+        follower = Follower(Index(spark, f"file://{tmp_path}/i"), f"file://{tmp_path}/dead")
+        if n < ATTEMPTS - 1:
+            with pytest.raises(ValueError):
+                follower.batch(bad)
+        else:
+            follower.batch(bad)
+    assert follower.applied == 2 and follower.set_aside == 1
+    assert Index(spark, f"file://{tmp_path}/i").manifest["seq"] == 2
