@@ -22,6 +22,9 @@ def _d(x: float) -> Column:
     return F.lit(float(x))
 
 
+# k1, b, the fields' weights and the thousandths of pseudo frequencies are those that results are compared with.
+
+
 @dataclass(frozen=True)
 class BM25:
     k1: float = 1.2

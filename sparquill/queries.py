@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparquill.config import Config
 from sparquill.functions.analysis import Analyzer, Synonyms, tokens, without_stop_words
 from sparquill.functions.query_text import EXPANSIONS, preprocess_column
 from sparquill.functions.routing import Ring, ring_hash_column
 from sparquill.functions.scoring import BM25, BM25F, TFIDF, FieldWeight
 from sparquill.functions.snippet import with_snippets
 from sparquill.operators import build, evaluate, fusion, versions
+from sparquill.operators.lifecycle import Index
 from sparquill.operators.policy import TieredPolicy
 from sparquill.plans import search as plan
 from sparquill.plans.query_parser import parse
 from sparquill.sources import readers
+from sparquill.streaming.follow import Follower
 
 K, DIGITS = 10, 6
 FLAGSHIP = "license rights reserved"
@@ -66,16 +69,16 @@ def _in(terms) -> str:
     return ", ".join(f"'{t}'" for t in terms)
 
 
-def _search_sql(q: str, score: str | None = None, synonyms: Synonyms | None = None, boost: float = plan.PHRASE_BOOST) -> str:
-    p = parse(q, Analyzer(), synonyms)
-    tests = [f"doc_id IN (SELECT doc_id FROM post WHERE term = '{t}')" for t in p.must]
-    tests += [f"doc_id NOT IN (SELECT doc_id FROM post WHERE term = '{t}')" for t in p.excluded]
+def _search_sql(weights: dict[str, int], score: str | None = None, must: tuple = (), excluded: tuple = (), phrases: tuple = (), boost: float = 0.25, post: str = POST) -> str:
+    """What a query means is written out for each query: its scored terms with their weights, and its conditions."""
+    tests = [f"doc_id IN (SELECT doc_id FROM post WHERE term = '{t}')" for t in must]
+    tests += [f"doc_id NOT IN (SELECT doc_id FROM post WHERE term = '{t}')" for t in excluded]
     factor = "1"
-    for phrase in p.phrases:
+    for phrase in phrases:
         held = " AND ".join(f"toks[i + {k}] = '{t}'" for k, t in enumerate(phrase))
         factor += f" * (CASE WHEN len(list_filter(range(1, len(toks) - {len(phrase) - 2}), lambda i: {held})) > 0 THEN {1 + boost}::DOUBLE ELSE 1 END)"
     where = " WHERE " + " AND ".join(tests) if tests else ""
-    return f"WITH {POST}, {_hits(p.weights, score)}, final AS (SELECT doc_id, score * {factor} AS score FROM hits JOIN tk USING (doc_id){where}) {_top('final')}"
+    return f"WITH {post}, {_hits(weights, score)}, final AS (SELECT doc_id, score * {factor} AS score FROM hits JOIN tk USING (doc_id){where}) {_top('final')}"
 
 
 def _search(q: str, scorer=None, synonyms: Synonyms | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -164,7 +167,7 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _batch_terms(spark: SparkSession, d: str) -> DataFrame:
-    words = F.explode(F.slice(tokens("text"), 1, 8)).alias("term")
+    words = F.explode(tokens("text")).alias("term")
     return _docs(spark, d, "benchmark").select(F.col("item_id").alias("qid"), words).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
@@ -216,16 +219,9 @@ def per_shard_topk(spark: SparkSession, d: str) -> DataFrame:
     """Each shard ranks with its own statistics; lists are fused with the shards' shares as weights."""
     t = _tables(spark, d)
     shard = _ring().column(F.col("doc_id").cast("string"))
-    own = t.lengths.withColumn("shard", shard)
-    stats = own.groupBy("shard").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    weights = parse(FLAGSHIP).weights
-    post = t.postings.filter(F.col("term").isin(list(weights))).withColumn("shard", shard)
-    df = post.groupBy("shard", "term").agg(F.count("*").alias("df"))
-    hits = post.join(F.broadcast(df), ["shard", "term"]).join(F.broadcast(stats), "shard")  # shards times query terms
-    hits = hits.groupBy("shard", "doc_id").agg(F.round(F.sum(plan.impact(BM25())), DIGITS).alias("score"))
-    order = Window.partitionBy("shard").orderBy(F.desc("score"), "doc_id")
-    lists = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K * SHARDS)
-    return fusion.reciprocal_rank(lists.join(F.broadcast(fusion.shard_weights(own)), "shard"), K, digits=DIGITS)
+    own = build.Tables(t.postings.withColumn("shard", shard), t.terms, t.corpus, t.lengths.withColumn("shard", shard))
+    lists, sizes = plan.per_shard(own, parse(FLAGSHIP), K * SHARDS, BM25(), digits=DIGITS)
+    return fusion.reciprocal_rank(lists.join(F.broadcast(fusion.weights_of(sizes)), "shard"), K, digits=DIGITS)  # a row a shard
 
 
 # Versions and policy
@@ -245,6 +241,7 @@ LOG = """log AS (SELECT doc_id AS seq, 'index' AS op, doc_id, text FROM document
 UNION ALL SELECT doc_id + 10000000000, 'index', doc_id, 'revised license ' || text FROM documents WHERE doc_id % 7 = 0
 UNION ALL SELECT doc_id + 20000000000, 'delete', doc_id, NULL FROM documents WHERE doc_id % 11 = 0)"""
 LIVE = "live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS r FROM log) WHERE r = 1 AND op = 'index')"
+LIVE_POST = f"{LOG}, {LIVE}, {POST.replace('FROM documents', 'FROM live')}"
 
 
 def latest_version(spark: SparkSession, d: str) -> DataFrame:
@@ -257,10 +254,72 @@ def tombstone_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).join(dead, "doc_id", "left_anti").select("doc_id", "lang")
 
 
+def _index(spark: SparkSession, d: str, merged: bool = True, config: Config | None = None) -> Index:
+    """The changes of ``_log`` as an index: three generations, or one that they are merged to."""
+    index = Index(spark, _scratch(spark), config)
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text", (F.col("doc_id") % 7 == 0).alias("again"), (F.col("doc_id") % 11 == 0).alias("gone"))
+    index.upsert(docs)
+    index.flush()
+    index.upsert(docs.filter("again").withColumn("text", F.concat(F.lit("revised license "), "text")))
+    index.flush()
+    index.delete(docs.filter("gone").select(F.col("id").alias("doc_id")))
+    index.flush()
+    if merged:
+        index.force_merge(1)
+    return index
+
+
 def compact_stats(spark: SparkSession, d: str) -> DataFrame:
-    own = versions.live(_log(spark, d))
-    t = build.build(own)
-    return t.corpus.crossJoin(t.postings.agg(F.count("*").alias("n_postings"))).withColumn("avgdl", F.round("avgdl", DIGITS))
+    """Figures of an index whose generations were merged."""
+    t = _index(spark, d).tables()
+    return t.corpus.crossJoin(F.broadcast(t.postings.agg(F.count("*").alias("n_postings")))).withColumn("avgdl", F.round("avgdl", DIGITS))  # one row each
+
+
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """A search of a written index with generations that are void in part."""
+    index = _index(spark, d, merged=False)
+    ranked, _ = index.ranked(index.parse("revised license"), K, digits=DIGITS)
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def index_pending_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same with all but the first changes not yet flushed, and a phrase and conditions in the query."""
+    index = Index(spark, _scratch(spark))
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")
+    index.upsert(docs)
+    index.flush()
+    index.upsert(docs.filter("id % 7 = 0").withColumn("text", F.concat(F.lit("revised license "), "text")))
+    index.delete(docs.filter("id % 11 = 0").select(F.col("id").alias("doc_id")))
+    ranked, _ = index.ranked(index.parse('+revised "license of" the -apache'), K, digits=DIGITS)
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def index_bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
+    """BM25F from the stored frequencies of fields."""
+    index = Index(spark, _scratch(spark), Config(scorer="bm25f"))
+    index.upsert(_fields(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.lit("x").alias("text"), "fields"))
+    index.flush()
+    ranked, _ = index.ranked(index.parse(FLAGSHIP), K, digits=DIGITS)
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+def index_shard_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Live documents of each shard of an index whose files are dealt by shard."""
+    return _index(spark, d, merged=False, config=Config(num_shards=SHARDS)).shards().select("shard", "docs")
+
+
+def index_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of an index whose writer stopped after logging and before its manifest, opened again and written on."""
+    index = Index(spark, _scratch(spark))
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")
+    index.upsert(docs)
+    save, index._save = index._save, lambda: None  # the manifest of what follows is lost
+    index.upsert(docs.filter("id % 7 = 0"))
+    index._save = save
+    again = Index(spark, index.path)
+    again.delete(docs.filter("id % 11 = 0").select(F.col("id").alias("doc_id")))
+    log = again.changelog()
+    return log.groupBy("op").agg(F.count("*").alias("changes"), F.countDistinct("seq").alias("numbers"), F.min("seq").alias("first"), F.max("seq").alias("last"))
 
 
 def live_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -283,23 +342,34 @@ def merge_policy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expunge_deletes(spark: SparkSession, d: str) -> DataFrame:
-    t = POLICY.expunge_deletes_threshold
-    return _segments(spark, d).filter(f"doc_count > 0 and deleted_docs / cast(doc_count as double) >= {t}D").select("segment_id")
+    return POLICY.select_expunge_frame(_segments(spark, d)).select("segment_id")
 
 
 # Evaluation
 
 
-def _run_and_qrels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark items are queries; judged are documents of the run alone, see ``_judged``."""
-    run = batch_topk(spark, d)
-    return run, _judged(spark, d)
+HELD = 8
+
+
+def _shingles(rows: DataFrame, *keys: str) -> DataFrame:
+    """The runs of HELD words of each text, each once."""
+    toks = rows.select(*keys, tokens("text").alias("toks")).filter(F.size("toks") >= HELD)
+    runs = F.transform(F.sequence(F.lit(1), F.size("toks") - HELD + 1), lambda i: F.array_join(F.slice("toks", i, HELD), " "))
+    return toks.select(*keys, F.explode(F.array_distinct(runs)).alias("run"))
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """From a fixed rule over ids, so that SQL has the same judgements."""
-    run = batch_topk(spark, d).select("qid", "doc_id")
-    return run.filter("(qid + doc_id) % 3 = 0").withColumn("rel", (F.col("doc_id") % 3).cast("int"))
+    """(qid, doc_id, rel) over all documents: 2 for one that holds every run of HELD words of the item, 1 for one that holds some."""
+    items = _shingles(_docs(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), "qid")
+    size = items.groupBy("qid").agg(F.count("*").alias("of"))
+    few = items.count() <= plan.BROADCAST_TERMS
+    held = _shingles(_docs(spark, d), "doc_id").join(F.broadcast(items) if few else items, "run").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
+    return held.join(size, "qid").select("qid", "doc_id", F.when(F.col("n") == F.col("of"), 2).otherwise(1).alias("rel"))
+
+
+def _run_and_qrels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Benchmark items are queries; documents are judged by what they hold of an item, whether or not the run has them."""
+    return batch_topk(spark, d), _judged(spark, d)
 
 
 def ndcg_mrr_recall_map(spark: SparkSession, d: str) -> DataFrame:
@@ -327,40 +397,42 @@ def gen_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_formats(spark: SparkSession, d: str) -> DataFrame:
-    """The documents written as JSON lines, JSON and CSV and read again by the source readers."""
+    """The documents written in each format and read again by the source readers: documents, their ids and their text's length."""
     root = _scratch(spark)
-    own = _docs(spark, d).select(F.col("doc_id").cast("string").alias("_id"), "text", "lang")
+    own = _docs(spark, d).select(F.col("doc_id").cast("string").alias("_id"), F.trim("text").alias("text"), "lang")
+    flat = own.withColumn("text", F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    own.write.parquet(f"{root}/parquet")
+    own.write.json(f"{root}/jsonl")
+    flat.write.option("header", True).option("escape", '"').csv(f"{root}/csv")
     m = readers.Mapping("_id", ("text",), ("lang",))
-    own.write.json(f"{root}/lines")
-    own.withColumn("text", F.regexp_replace("text", r"\s+", " ")).write.option("header", True).option("escape", '"').csv(f"{root}/table")
-    a = readers.read_source(spark, f"{root}/lines", m, "jsonl")
-    b = readers.read_source(spark, f"{root}/table", m, "csv")
-    both = a.withColumn("format", F.lit("jsonl")).unionByName(b.withColumn("format", F.lit("csv")))
-    return both.groupBy("format", F.col("metadata")["lang"].alias("lang")).agg(F.count("*").alias("docs"))
+    files = max(1, own.count() // 1000)
+    some = own.groupBy(F.pmod(F.xxhash64("_id"), F.lit(files))).agg(F.to_json(F.collect_list(F.struct(*own.columns))).alias("value"))
+    some.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/json")  # a file is an array
+    out = None
+    for fmt, place in (("parquet", "parquet"), ("jsonl", "jsonl"), ("json", "json"), ("csv", "csv")):
+        one = readers.read_source(spark, f"{root}/{place}", m, fmt).withColumn("format", F.lit(fmt))
+        out = one if out is None else out.unionByName(one)
+    sizes = F.sum(F.length("text")).alias("chars"), F.sum(F.col("id").cast("bigint")).alias("ids")
+    return out.groupBy("format", F.col("metadata")["lang"].alias("lang")).agg(F.count("*").alias("docs"), *sizes)
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared one the cluster names, or a local one in tests."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparquill-")
-    return f"{base}/sparquill/{uuid.uuid4().hex}"
+    """A new folder in the shared one that the cluster names."""
+    return f"{readers.shared_dir(spark)}/sparquill/{uuid.uuid4().hex}"
 
 
 def changelog_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Change log files followed as a stream; what it leaves is the state of the log read at once."""
+    """A replica that follows an index's log as a stream: its live documents, and the changes that it applied."""
     root = _scratch(spark)
-    _log(spark, d).write.parquet(f"{root}/log")
-
-    def keep(batch: DataFrame, n: int) -> None:
-        versions.newest(batch).write.mode("overwrite").parquet(f"{root}/state/{n}")
-
-    schema = "seq bigint, op string, doc_id bigint, text string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/log")
-    q = stream.select("seq", "op", "doc_id").writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/at").trigger(availableNow=True).start()
-    q.awaitTermination()
-    state = versions.newest(spark.read.option("recursiveFileLookup", True).parquet(f"{root}/state"))
-    return state.groupBy("op").agg(F.count("*").alias("docs"), F.sum("seq").alias("seqs"))
+    main, copy = Index(spark, f"{root}/main", Config(merge_after_flush=False)), Index(spark, f"{root}/copy")
+    docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")
+    main.upsert(docs)
+    main.upsert(docs.filter("id % 7 = 0").withColumn("text", F.concat(F.lit("revised license "), "text")))
+    main.delete(docs.filter("id % 11 = 0").select(F.col("id").alias("doc_id")))
+    follower = Follower(copy)
+    follower.start(f"{root}/main/changelog", f"{root}/at").awaitTermination()
+    live = copy.documents()
+    return live.agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")).withColumn("applied", F.lit(follower.applied).cast("bigint"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -380,39 +452,47 @@ for _f in (
     two_phase_topk, explain_scores, phrase_match, batch_topk, snippets, ring_hash, shard_assign, shard_counts, rrf_fusion, score_fusion,
     per_shard_topk, latest_version, tombstone_antijoin, compact_stats, live_topk, merge_policy, expunge_deletes, ndcg_mrr_recall_map,
     mean_effectiveness, latency_percentiles, gen_corpus, read_formats, changelog_stream,
+    index_topk, index_pending_topk, index_bm25f_topk, index_shard_counts, index_log,
 ):
     QUERIES[_f.__name__] = _f
 
 
-def _hash_sql() -> str:
+def _hash_sql(name: str, source: str, key: str, keep: str) -> str:
+    """CTEs up to ``name`` with the columns ``keep`` and the ring's hash of the ASCII string ``key``: FNV-1a, then murmur3's finaliser."""
     m = "4294967296::HUGEINT"
-    h = f"list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 16777619) % {m}, 2166136261::HUGEINT)"
-    return f"""h0 AS (SELECT doc_id, {h} AS h FROM documents), h1 AS (SELECT doc_id, (xor(h, h // 65536) * 2246822507) % {m} AS h FROM h0),
-    h2 AS (SELECT doc_id, (xor(h, h // 8192) * 3266489909) % {m} AS h FROM h1), hashed AS (SELECT doc_id, xor(h, h // 65536)::BIGINT AS hash FROM h2)"""
+    h = f"list_reduce(list_transform(string_split({key}, ''), lambda c: ascii(c)::HUGEINT), lambda h, b: (xor(h, b) * 16777619) % {m}, 2166136261::HUGEINT)"
+    return f"""{name}0 AS (SELECT {keep}, {h} AS h FROM {source}), {name}1 AS (SELECT {keep}, (xor(h, h // 65536) * 2246822507) % {m} AS h FROM {name}0),
+    {name}2 AS (SELECT {keep}, (xor(h, h // 8192) * 3266489909) % {m} AS h FROM {name}1), {name} AS (SELECT {keep}, xor(h, h // 65536)::BIGINT AS hash FROM {name}2)"""
+
+
+def _shard_sql(docs: str = "documents") -> str:
+    """The ring of SHARDS times 150 places 'shard:k', and the first place at or after a document's hash."""
+    places = f"(SELECT s, s::VARCHAR || ':' || k::VARCHAR AS key FROM range({SHARDS}) AS a(s), range(150) AS b(k))"
+    return f"""{_hash_sql("hashed", docs, "doc_id::VARCHAR", "doc_id")}, {_hash_sql("ring", places, "key", "s")},
+    owned AS (SELECT doc_id, coalesce(s, (SELECT arg_min(s, hash) FROM ring))::INT AS shard FROM hashed ASOF LEFT JOIN ring ON hashed.hash <= ring.hash)"""
 
 
-def _shard_sql() -> str:
-    r = _ring()
-    rows = ", ".join(f"({p}, {s})" for p, s in zip(r.places, r.shards))
-    return f"""{_hash_sql()}, ring AS (SELECT * FROM (VALUES {rows}) AS r(p, s)),
-    owned AS (SELECT doc_id, coalesce(s, {r.shards[0]}) AS shard FROM hashed ASOF LEFT JOIN ring ON hash <= p)"""
+ASKED = {"license": 1, "rights": 1, "reserved": 1}  # what FLAGSHIP means
 
 
 def _lists_sql() -> str:
-    w = parse(FLAGSHIP).weights
+    w = ASKED
     tfidf = "ln(n / df) * ln(1 + tf)"
     return f"""WITH {POST}, {_hits(w)}, hits2 AS (SELECT doc_id, sum(qtf * {tfidf}) AS score FROM {_values(w)} JOIN post USING (term) JOIN terms USING (term), corpus GROUP BY 1),
     l AS ({_top('hits', 100)} UNION ALL {_top('hits2', 100)})"""
 
 
 def _batch_sql() -> str:
-    return f"""{POST}, q AS (SELECT item_id AS qid, unnest(list_slice({TK}, 1, 8)) AS term FROM benchmark), qt AS (SELECT qid, term, count(*) AS qtf FROM q GROUP BY ALL),
+    return f"""{POST}, q AS (SELECT item_id AS qid, unnest({TK}) AS term FROM benchmark), qt AS (SELECT qid, term, count(*) AS qtf FROM q GROUP BY ALL),
     bhits AS (SELECT qid, doc_id, round(sum(qtf * {_bm25()}), {DIGITS}) AS score FROM qt JOIN post USING (term) JOIN terms USING (term), corpus GROUP BY ALL),
     run AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM bhits) WHERE rank <= {K})"""
 
 
 def _eval_sql() -> str:
-    return f"""{_batch_sql()}, qrels AS (SELECT qid, doc_id, doc_id % 3 AS rel FROM run WHERE (qid + doc_id) % 3 = 0),
+    runs = f"unnest(list_distinct(list_transform(range(1, len(toks) - {HELD - 2}), lambda i: array_to_string(list_slice(toks, i, i + {HELD - 1}), ' ')))) AS run"
+    return f"""{_batch_sql()}, iw AS (SELECT qid, {runs} FROM (SELECT item_id AS qid, {TK} AS toks FROM benchmark) WHERE len(toks) >= {HELD}), dw AS (SELECT doc_id, {runs} FROM tk WHERE len(toks) >= {HELD}),
+    isize AS (SELECT qid, count(*) AS total FROM iw GROUP BY 1), held AS (SELECT qid, doc_id, count(*) AS n FROM iw JOIN dw USING (run) GROUP BY ALL),
+    qrels AS (SELECT qid, doc_id, CASE WHEN n = total THEN 2 ELSE 1 END AS rel FROM held JOIN isize USING (qid)),
     ideal AS (SELECT qid, sum(CASE WHEN r <= {K} THEN (pow(2, rel) - 1) / log2(r + 1) ELSE 0 END) AS idcg, count(*) FILTER (rel > 0) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS r FROM qrels) GROUP BY 1),
     got AS (SELECT qid, rank, rel, count(*) OVER (PARTITION BY qid ORDER BY rank) AS nth FROM run JOIN qrels USING (qid, doc_id) WHERE rel > 0),
     found AS (SELECT qid, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg, min(rank) AS first, count(*) AS n, sum(nth / rank::DOUBLE) AS p FROM got GROUP BY 1),
@@ -420,7 +500,7 @@ def _eval_sql() -> str:
 
 
 def _bm25f_sql() -> str:
-    w = parse(FLAGSHIP).weights
+    w = ASKED
     score = "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * 2.2::DOUBLE * (tf / 1000::DOUBLE) / (1.2::DOUBLE + tf / 1000::DOUBLE)"
     return f"""WITH {_fields_sql()},
     mean AS (SELECT field, avg(n) AS mean FROM lens GROUP BY 1),
@@ -446,7 +526,7 @@ def _preprocess_sql() -> str:
 
 
 def _per_shard_sql() -> str:
-    w = parse(FLAGSHIP).weights
+    w = ASKED
     return f"""WITH {POST}, {_shard_sql()}, st AS (SELECT shard, count(*)::DOUBLE AS n, avg(len(toks)) AS avgdl FROM tk JOIN owned USING (doc_id) GROUP BY 1),
     sp AS (SELECT shard, post.* FROM post JOIN owned USING (doc_id) WHERE term IN ({_in(w)})), sdf AS (SELECT shard, term, count(*) AS df FROM sp GROUP BY ALL),
     sh AS (SELECT shard, doc_id, round(sum({_bm25()}), {DIGITS}) AS score FROM sp JOIN sdf USING (shard, term) JOIN st USING (shard) GROUP BY ALL),
@@ -462,16 +542,16 @@ def _policy_sql() -> str:
 
 
 ORACLE: dict[str, str] = {
-    "bm25_topk": _search_sql(FLAGSHIP),
-    "bm25_tuned": _search_sql(FLAGSHIP, _bm25(0.9, 0.4)),
-    "tfidf_topk": _search_sql(FLAGSHIP, "ln(n / df) * ln(1 + tf)"),
-    "bm25_qtf": _search_sql("license license rights the"),
-    "bool_must": _search_sql("+license the of"),
-    "bool_not": _search_sql("license -apache NOT erthing"),
-    "bool_and": _search_sql("license AND the of"),
-    "bool_mixed": _search_sql('+the license OR reserved -apache "of the"'),
-    "phrase_boost": _search_sql('"of the" license'),
-    "synonym_expand": _search_sql("license works", synonyms=SYNONYMS),
+    "bm25_topk": _search_sql(ASKED),
+    "bm25_tuned": _search_sql(ASKED, _bm25(0.9, 0.4)),
+    "tfidf_topk": _search_sql(ASKED, "ln(n / df) * ln(1 + tf)"),
+    "bm25_qtf": _search_sql({"license": 2, "rights": 1, "the": 1}),
+    "bool_must": _search_sql({"license": 1, "the": 1, "of": 1}, must=("license",)),
+    "bool_not": _search_sql({"license": 1}, excluded=("apache", "erthing")),
+    "bool_and": _search_sql({"license": 1, "the": 1, "of": 1}, must=("license", "the")),
+    "bool_mixed": _search_sql({"the": 2, "license": 1, "reserved": 1, "of": 1}, must=("the",), excluded=("apache",), phrases=(("of", "the"),)),
+    "phrase_boost": _search_sql({"of": 1, "the": 1, "license": 1}, phrases=(("of", "the"),)),
+    "synonym_expand": _search_sql({"license": 1, "copyright": 1, "rights": 1, "works": 1}),
     "tokenize_stats": f"WITH f AS (SELECT lang, unnest({TK}) AS term FROM documents) SELECT lang, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM f GROUP BY 1",
     "postings": f"WITH {POST} SELECT term, doc_id, tf::INT AS tf, dl::INT AS dl FROM post",
     "term_stats": f"WITH {POST} SELECT term, df FROM terms",
@@ -481,11 +561,11 @@ ORACLE: dict[str, str] = {
     "stopword_filter": f"WITH k AS (SELECT doc_id, list_filter({TK}, lambda t: t NOT IN ({_in(STOP)})) AS kept FROM documents) SELECT doc_id, len(kept)::INT AS n_kept, array_to_string(kept, ' ') AS kept FROM k",
     "preprocess_query": _preprocess_sql(),
     "bm25f_topk": _bm25f_sql(),
-    "two_phase_topk": _search_sql("the of license"),
-    "explain_scores": f"WITH {POST} SELECT doc_id, term, tf::INT AS tf, dl::INT AS dl, df, round({_bm25()}, {DIGITS}) AS score FROM post JOIN terms USING (term), corpus WHERE term IN ({_in(parse(FLAGSHIP).terms)})",
+    "two_phase_topk": _search_sql({"the": 1, "of": 1, "license": 1}),
+    "explain_scores": f"WITH {POST} SELECT doc_id, term, tf::INT AS tf, dl::INT AS dl, df, round({_bm25()}, {DIGITS}) AS score FROM post JOIN terms USING (term), corpus WHERE term IN ({_in(ASKED)})",
     "phrase_match": f"WITH {POST} SELECT doc_id FROM tk WHERE len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the')) > 0",
     "batch_topk": f"WITH {_batch_sql()} SELECT qid, doc_id, score, rank FROM run",
-    "ring_hash": f"WITH {_hash_sql()} SELECT doc_id, hash FROM hashed",
+    "ring_hash": f"WITH {_hash_sql('hashed', 'documents', 'doc_id::VARCHAR', 'doc_id')} SELECT doc_id, hash FROM hashed",
     "shard_assign": f"WITH {_shard_sql()} SELECT doc_id, shard FROM owned",
     "shard_counts": f"WITH {_shard_sql()} SELECT shard, count(*) AS docs FROM owned GROUP BY 1",
     "rrf_fusion": f"{_lists_sql()}, f AS (SELECT doc_id, sum(1 / (60::DOUBLE + rank)) AS score FROM l GROUP BY 1) {_top('f')}",
@@ -493,15 +573,20 @@ ORACLE: dict[str, str] = {
     "per_shard_topk": _per_shard_sql(),
     "latest_version": f"WITH {LOG}, {LIVE} SELECT doc_id, seq, length(text) AS chars FROM live",
     "tombstone_antijoin": "SELECT doc_id, lang FROM documents WHERE doc_id % 11 <> 0",
-    "compact_stats": f"WITH {LOG}, {LIVE}, {POST.replace('FROM documents', 'FROM live')} SELECT count(*) AS n, sum(len(toks))::BIGINT AS total_terms, round(avg(len(toks)), {DIGITS}) AS avgdl, (SELECT count(*) FROM post) AS n_postings FROM tk",
-    "live_topk": f"WITH {LOG}, {LIVE}, {POST.replace('FROM documents', 'FROM live')}, {_hits(parse('revised license').weights)} {_top()}",
+    "compact_stats": f"WITH {LIVE_POST} SELECT count(*) AS n, sum(len(toks))::BIGINT AS total_terms, round(avg(len(toks)), {DIGITS}) AS avgdl, (SELECT count(*) FROM post) AS n_postings FROM tk",
+    "live_topk": f"WITH {LIVE_POST}, {_hits({'revised': 1, 'license': 1})} {_top()}",
+    "index_topk": f"WITH {LIVE_POST}, {_hits({'revised': 1, 'license': 1})} {_top()}",
+    "index_pending_topk": _search_sql({"revised": 1, "license": 1, "of": 1, "the": 1}, must=("revised",), excluded=("apache",), phrases=(("license", "of"),), post=LIVE_POST),
+    "index_bm25f_topk": _bm25f_sql(),
+    "index_shard_counts": f"WITH {LOG}, {LIVE}, {_shard_sql('live')} SELECT shard, count(*) AS docs FROM owned GROUP BY 1",
+    "index_log": "WITH a AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS again, count(*) FILTER (doc_id % 11 = 0) AS gone FROM documents) SELECT 'index' AS op, n + again AS changes, n + again AS numbers, 1::BIGINT AS first, n + again AS last FROM a UNION ALL SELECT 'delete', gone, gone, n + again + 1, n + again + gone FROM a",
     "merge_policy": _policy_sql(),
     "expunge_deletes": f"WITH {SEGMENTS} SELECT segment_id FROM seg WHERE doc_count > 0 AND deleted_docs / doc_count::DOUBLE >= 0.25",
     "ndcg_mrr_recall_map": f"WITH {_eval_sql()} SELECT qid, " + ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in ("ndcg", "mrr", "recall", "ap")) + " FROM ev",
     "mean_effectiveness": f"WITH {_eval_sql()} SELECT count(*) AS queries, round(avg(ndcg), {DIGITS}) AS ndcg, round(avg(mrr), {DIGITS}) AS mrr, round(avg(recall), {DIGITS}) AS recall, round(avg(ap), {DIGITS}) AS map FROM ev",
     "latency_percentiles": f"SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), {DIGITS}) AS p50, round(quantile_cont(value, 0.95), {DIGITS}) AS p95, round(quantile_cont(value, 0.99), {DIGITS}) AS p99, round(avg(value), {DIGITS}) AS mean FROM events GROUP BY 1",
-    "read_formats": "SELECT f AS format, lang, count(*) AS docs FROM documents, (VALUES ('jsonl'), ('csv')) AS v(f) WHERE trim(text) <> '' GROUP BY ALL",
-    "changelog_stream": f"WITH {LOG}, n AS (SELECT doc_id, max(seq) AS seq, arg_max(op, seq) AS op FROM log GROUP BY 1) SELECT op, count(*) AS docs, sum(seq)::BIGINT AS seqs FROM n GROUP BY 1",
+    "read_formats": r"WITH t AS (SELECT doc_id, lang, trim(text) AS text, trim(regexp_replace(trim(text), '[ \t\r\n]+', ' ', 'g')) AS flat FROM documents) SELECT f AS format, lang, count(*) AS docs, sum(length(CASE WHEN f = 'csv' THEN flat ELSE text END))::BIGINT AS chars, sum(doc_id)::BIGINT AS ids FROM t, (VALUES ('parquet'), ('jsonl'), ('json'), ('csv')) AS v(f) WHERE text <> '' GROUP BY ALL",
+    "changelog_stream": f"WITH {LOG}, {LIVE} SELECT count(*) AS docs, sum(length(text))::BIGINT AS chars, (SELECT count(*) FROM log) AS applied FROM live",
 }
 
 

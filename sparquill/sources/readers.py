@@ -7,6 +7,7 @@ a space; rows without text are skipped. Rows that do not parse are skipped.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -134,6 +135,22 @@ def read_source(spark: SparkSession, uri: str | Sequence[str], mapping: Mapping
     return out if limit is None else out.limit(limit)
 
 
+def dataset(root: str, config: str | None = None, split: str | None = None, suffix: str = ".parquet") -> str:
+    """The path pattern of a dataset's files, one folder a configuration and in it one a split; None stands for all of them."""
+    return f"{root.rstrip('/')}/{config or '*'}/{split or '*'}/*{suffix}"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset a temporary one, in local mode alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="sparquill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 _SYLLABLES = "ba ke li mo nu pra sta tor ven wis".split()
 VOCABULARY = [a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in ("", "n", "s", "r")]
 
