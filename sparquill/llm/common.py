@@ -18,6 +18,8 @@ from sparquill.sources.readers import shared_dir, spread
 
 #: Rows of text per Arrow batch; with texts of a few KB a batch is a few MB.
 TEXT_ROWS = 512
+#: Narrow rows of a task, in tables that have too few for all tasks of a shuffle.
+NARROW_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,14 @@ def discard(*tables: DataFrame) -> None:
             _remove(t.sparkSession, path)
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has ``rows`` narrow rows at most, in no more partitions than so many rows are worth.
+
+    Each file that a task writes to a local store starts a process or two.
+    """
+    return df.coalesce(max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // NARROW_ROWS))))
+
+
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the rows of an Arrow batch for plans made from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

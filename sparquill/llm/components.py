@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import discard, written
-
-#: Edges of a task, in rounds that have too few for all tasks of a shuffle: each file costs its writer a process of its own in local stores.
-ROWS = 20_000
+from sparquill.llm.common import discard, few_files, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,26 +22,24 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops are ignored; no edges give an empty table.
     """
     edges = written(edges.select("a", "b").filter("a <> b").distinct())
-    most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels, known, dealt, turn = None, None, 1, 0
+    labels, known, nodes, turn = None, None, 0, 0
     while n := edges.count():
-        parts = min(most, -(-n // ROWS))  # a round's tables have no more than 2 * n rows
+        nodes = nodes or 2 * n  # at most, of all that have edges
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         drawn = [F.struct(F.xxhash64(c, F.lit(turn)).alias("draw"), F.col(c).alias("node")) for c in ("a", "b")]
         first = both.groupBy("a").agg(F.min(drawn[1]).alias("m")).withColumn("m", F.least(drawn[0], "m"))
-        up = written(first.select(F.col("a").alias("k"), F.col("m")["node"].alias("p")).coalesce(parts))
+        up = written(few_files(first.select(F.col("a").alias("k"), F.col("m")["node"].alias("p")), 2 * n))
         turn += 1
         if labels is None:
-            dealt = parts
             known, labels = up, up.select(F.col("k").alias("node"), F.col("p").alias("root"))
         else:
-            # Labels keep their number of rows, so they are dealt as the first round's were.
-            new = written(labels.join(up, labels.root == up.k, "left").select("node", F.coalesce("p", "root").alias("root")).coalesce(dealt))
+            new = written(few_files(labels.join(up, labels.root == up.k, "left").select("node", F.coalesce("p", "root").alias("root")), nodes))
             discard(known)
             known = labels = new
         one = up.select(F.col("k").alias("a"), F.col("p").alias("pa"))
         two = up.select(F.col("k").alias("b"), F.col("p").alias("pb"))
-        left = written(edges.join(one, "a").join(two, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct().coalesce(parts))
+        left = edges.join(one, "a").join(two, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        left = written(few_files(left.distinct(), n))
         discard(edges, *(() if known is up else (up,)))
         edges = left
     if labels is None:

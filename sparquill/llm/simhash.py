@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import kind, map_rows, written
+from sparquill.llm.common import discard, few_files, kind, map_rows, written
 from sparquill.llm.components import components
 
 #: Keys that are broadcast at most when fingerprints of dense keys are looked up (16 bytes each).
@@ -73,7 +73,7 @@ def links(fps: DataFrame) -> DataFrame:
     pairs = held.filter("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
     keys = held.filter("n > 2").select("key")
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    dense = written(index.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("fp").distinct())
+    dense = written(few_files(index.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("fp").distinct(), fps.count()))
     around = dense.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p)))")).alias("m"))
     star = around.withColumn("a", F.min("fp").over(Window.partitionBy("m"))).filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(star)
@@ -82,9 +82,14 @@ def links(fps: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp, root, component_id) for each row of ``docs``; root names the group even where ids are null."""
     own = written(fingerprints(docs, words, seed))
-    fps = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _grouped(own, own.count())
+
+
+def _grouped(own: DataFrame, rows: int) -> DataFrame:
+    fps = written(few_files(own.groupBy("fp").agg(F.min("doc_id").alias("least")), rows))
     root = components(links(fps.select("fp")))
-    of = written(fps.join(root, fps.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    of = written(few_files(fps.join(root, fps.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), rows))
+    discard(fps)
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     return own.join(of.join(least, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
 
@@ -107,11 +112,15 @@ def deduplicated(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     All columns are kept. Where several rows of a group share that doc_id, the
     one with the least fingerprint stays; of rows equal in both, one.
     """
-    found = written(grouped(docs, words, seed))
+    own = written(fingerprints(docs, words, seed))
+    n = own.count()
+    found = written(few_files(_grouped(own, n), n))
+    discard(own)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")
     best = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("keep_id"), F.col("best.fp").alias("keep_fp"))
     rows = found.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
-    keep = written(best.join(rows, F.expr("keep_id <=> id")).select("keep_id", "keep_fp", "n"))
+    keep = written(few_files(best.join(rows, F.expr("keep_id <=> id")).select("keep_id", "keep_fp", "n"), n))
+    discard(found)
     # An id of one row is looked up by id alone, so no fingerprint is computed again.
     once = keep.filter("n = 1 and keep_id is not null").select(F.col("keep_id").alias("__keep"))
     out = docs.join(once.hint("shuffle_hash"), docs["doc_id"] == F.col("__keep"), "left_semi")
