@@ -29,14 +29,18 @@ def analyzed(docs: DataFrame, analyzer: Analyzer, text: str = "text", id_col: st
     return docs.select(F.col(id_col).alias("doc_id"), *extra, analyzer.column(text).alias("toks")).withColumn("dl", F.size("toks"))
 
 
-def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
     """(term, doc_id, tf, dl) and extra columns of the document: one row for each distinct term of a document.
 
+    ``only``: (term) of the terms that are wanted, each once; the others go before anything is grouped.
+
     Terms are exploded at once, so that grouping runs on flat rows with
     map-side partial counts; stems come from a join on distinct terms.
     """
     analyzer = analyzer or Analyzer()
     flat = analyzed(docs, analyzer, text, id_col, extra).select("doc_id", "dl", *extra, F.explode("toks").alias("term"))
+    if only is not None and not analyzer.stemming:
+        flat = flat.join(only, "term", "left_semi")
     counted = flat.groupBy("term", "doc_id", "dl", *extra).agg(F.count("*").cast("int").alias("tf"))
     if analyzer.stemming:
         counted = analyzer.stemmed(counted).groupBy("term", "doc_id", "dl", *extra).agg(F.sum("tf").cast("int").alias("tf"))
@@ -59,9 +63,9 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_terms"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id") -> Tables:
+def build(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", only: DataFrame | None = None) -> Tables:
     analyzer = analyzer or Analyzer()
-    post = postings(docs, analyzer, text, id_col)
+    post = postings(docs, analyzer, text, id_col, only=only)
     lengths = analyzed(docs, analyzer, text, id_col).select("doc_id", "dl")
     return Tables(post, term_stats(post), corpus_stats(lengths), lengths)
 

@@ -12,8 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparquill.functions.analysis import Analyzer
 from sparquill.functions.scoring import BM25, Scorer
-from sparquill.operators.build import Tables
+from sparquill.operators.build import Tables, analyzed
 from sparquill.plans.query_parser import ParsedQuery
 
 PHRASE_BOOST = 0.25
@@ -98,6 +99,43 @@ def search(tables: Tables, query: ParsedQuery, k: int = DEFAULT_K, scorer: Score
     return top(hits, k, digits)
 
 
+def scan_search(docs: DataFrame, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, analyzer: Analyzer | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> DataFrame:
+    """The same from texts without an index: one scan for statistics, one for scores, and no shuffle.
+
+    A document is a row with a count for each term of the query, so conditions
+    and phrases are tests of a row. For analyzers without stemming.
+    """
+    analyzer = analyzer or Analyzer()
+    asked = list(dict.fromkeys([*query.terms, *query.excluded]))
+    toks = analyzed(docs, analyzer)
+    if not query.terms:
+        return toks.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    held = [holds_phrase(F.col("toks"), p).cast("int").alias(f"__p{i}") for i, p in enumerate(query.phrases)]
+    rows = toks.select("doc_id", "dl", F.filter("toks", lambda t: t.isin(asked)).alias("__own"), *held)
+    tf = {t: f"__t{i}" for i, t in enumerate(asked)}
+    rows = rows.select("doc_id", "dl", *((F.size("__own") - F.size(F.array_remove("__own", t))).alias(c) for t, c in tf.items()), *(f"__p{i}" for i in range(len(held))))
+    df = {t: F.sum((F.col(c) > 0).cast("long")).alias(f"__df{c}") for t, c in tf.items()}
+    stats = rows.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avgdl"), *df.values())
+    both = rows.crossJoin(F.broadcast(stats))  # one row
+    score, scorer = F.lit(0.0), scorer or BM25()
+    n, avgdl, dl = (F.col(c).cast("double") for c in ("__n", "__avgdl", "dl"))
+    for t, weight in query.weights.items():
+        part = scorer.impact(F.col(tf[t]).cast("double"), dl, avgdl, scorer.idf(n, F.col(f"__df{tf[t]}").cast("double")))
+        score = score + F.when(F.col(tf[t]) > 0, F.lit(float(weight)) * part).otherwise(F.lit(0.0))
+    boost = PHRASE_BOOST if boost == 0 else max(boost, 0.0)
+    for i in range(len(held)):
+        score = score * F.when(F.col(f"__p{i}") > 0, F.lit(1.0 + boost)).otherwise(F.lit(1.0))
+    ok = F.lit(False)
+    for t in query.terms:
+        ok |= F.col(tf[t]) > 0
+    for t in query.must:
+        ok &= F.col(tf[t]) > 0
+    for t in query.excluded:
+        ok &= F.col(tf[t]) == 0
+    # The test is part of the score, so that it is not evaluated on texts a second time below the join.
+    return top(both.select("doc_id", F.when(ok, score).otherwise(F.lit(-1.0)).alias("score")).filter("score >= 0"), k, digits)
+
+
 def search_batch(tables: Tables, queries: DataFrame, k: int = DEFAULT_K, scorer: Scorer | None = None, digits: int | None = None) -> DataFrame:
     """(qid, doc_id, score, rank) for many disjunctive queries (qid, term, qtf) in one job."""
     few = queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS

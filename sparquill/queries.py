@@ -83,10 +83,7 @@ def _search_sql(weights: dict[str, int], score: str | None = None, must: tuple =
 
 def _search(q: str, scorer=None, synonyms: Synonyms | None = None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _docs(spark, d)
-        p = parse(q, Analyzer(), synonyms)
-        toks = build.analyzed(docs, Analyzer()).select("doc_id", "toks") if p.phrases else None
-        return plan.search(_tables(spark, d), p, K, scorer, toks, digits=DIGITS)
+        return plan.scan_search(_docs(spark, d), parse(q, Analyzer(), synonyms), K, scorer, digits=DIGITS)
 
     return run
 
@@ -172,7 +169,10 @@ def _batch_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    return plan.search_batch(_tables(spark, d), _batch_terms(spark, d), K, digits=DIGITS)
+    asked = _batch_terms(spark, d)
+    words = asked.select("term").distinct()
+    few = words.limit(plan.BROADCAST_TERMS + 1).count() <= plan.BROADCAST_TERMS
+    return plan.search_batch(build.build(_docs(spark, d), only=F.broadcast(words) if few else words), asked, K, digits=DIGITS)
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +323,7 @@ def index_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_topk(spark: SparkSession, d: str) -> DataFrame:
-    return plan.search(build.build(versions.live(_log(spark, d))), parse("revised license"), K, digits=DIGITS)
+    return plan.scan_search(versions.live(_log(spark, d)), parse("revised license"), K, digits=DIGITS)
 
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
