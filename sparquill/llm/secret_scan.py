@@ -3,7 +3,8 @@
 Candidate strings are runs of token characters. In each stretch of a class
 (hexadecimal, or letters and digits of both) a window slides one character at
 a time; its Shannon entropy follows from counts that change by one character
-in and one out. Windows over the class's threshold are merged to spans; of a
+in and one out. Windows over the class's threshold are merged to spans, with
+the ends of the stretch that are shorter than a window; of a
 span that a named pattern covers in part, what is left is a span. An
 allow list suppresses what looks random but is public: UUIDs, digests that are
 announced as such, placeholders, alphabets. Of these only the announced digest
@@ -39,7 +40,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 _PUBLIC = re.compile(r"(?i)wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|example|sample|placeholder|dummy|xxxx|abcdefghij|0123456789|1234567890|changeme")
 _ANNOUNCED = re.compile(r"(?i)(?<![a-z0-9])(sha-?(1|224|256|384|512)|md5|commit|digest|checksum|integrity|etag|rev(ision)?)[\"']?\s*[:=-]?\s*[\"']?$")
-_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character comes in before one goes out
 
 
 def hot_windows(s: str, threshold: float) -> list[tuple[int, int]]:
@@ -64,6 +65,16 @@ def hot_windows(s: str, threshold: float) -> list[tuple[int, int]]:
     return out if n >= WINDOW else []
 
 
+def stretched(s: str, hot: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans, the first and last over the ends of s too: less than a window, up to a slash, they cannot be judged alone."""
+    if hot and hot[0][0] < WINDOW:
+        hot = [(s.rfind("/", 0, hot[0][0]) + 1, hot[0][1]), *hot[1:]]
+    if hot and len(s) - hot[-1][1] < WINDOW:
+        end = s.find("/", hot[-1][1])
+        hot = [*hot[:-1], (hot[-1][0], len(s) if end < 0 else end)]
+    return hot
+
+
 def suspects(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The parts of the candidate at start..end that are not public by their form; none if what stands before announces it."""
     if _ANNOUNCED.search(text, max(0, start - 24), start):
@@ -106,7 +117,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             near = base[at : bisect_left(base, (b,))]
             for chars, bits, needs in CLASSES:
                 for m in (m for part in parts for m in chars.finditer(text, *part)):
-                    hot = [s for x, y in hot_windows(m.group(), bits) for s in outside(m.start() + x, m.start() + y, near)]
+                    hot = [s for x, y in stretched(m.group(), hot_windows(m.group(), bits)) for s in outside(m.start() + x, m.start() + y, near)]
                     more += [(x, y) for x, y in hot if needs.match(text[x:y])]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(more):

@@ -89,3 +89,40 @@ def test_scan_and_redact(spark, rnd, odd):
     r = masked.filter("doc_id = 50").first()
     assert r.text == "<secret:assign>\" x" and r.n_chars == len(r.text)
     assert S.scan(make(spark, [])).count() == 0
+
+
+def test_long_runs_of_one_character():
+    for c in "=-_/aF0":
+        for n in (19, 20, 21, 22, 60):
+            assert not [x for x in S.spans(f"line {c * n} end") if x[0] == "entropy"]
+
+
+def test_recall_and_precision_on_planted_secrets(rnd):
+    """Secrets that no pattern names, of the forms that services give out, in prose with what looks like them."""
+    import base64
+    import string
+
+    def some(chars, n):
+        return "".join(rnd.choice(chars) for _ in range(n))
+
+    alnum = string.ascii_letters + string.digits
+    makers = [
+        lambda: some(alnum, 40), lambda: base64.b64encode(rnd.randbytes(32)).decode(), lambda: "xoxb-" + some(string.digits, 12) + "-" + some(alnum, 24), lambda: "ghp_" + some(alnum, 36),
+        lambda: some(string.digits + "ABCDEF", 40), lambda: "sk_live_" + some(alnum, 24), lambda: base64.urlsafe_b64encode(rnd.randbytes(24)).decode(), lambda: some(alnum + "+/", 40),
+    ]
+    likes = [
+        lambda: "/".join(some(string.ascii_lowercase, rnd.randrange(3, 9)) for _ in range(5)), lambda: some("0123456789", 30), lambda: "https://example.com/" + "-".join(some(string.ascii_lowercase, 6) for _ in range(4)),
+        lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "TheQuickBrownFoxJumpsOverTheLazyDog", lambda: "=" * 40, lambda: "sha256: " + some(alnum, 43), lambda: "x" * rnd.randrange(20, 60),
+        lambda: "_".join(some(string.ascii_lowercase, 5) for _ in range(6)), lambda: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij0123456789", lambda: "2024-01-02T03-04-05-000000000",
+    ]
+    found = missed = wrong = 0
+    for _ in range(400):
+        secret, like = rnd.choice(makers)(), rnd.choice(likes)()
+        t = f"{words(rnd, 8)} {secret} {words(rnd, 8)}\n{like} {words(rnd, 5)}"
+        at = t.index(secret)
+        spans = [(a, b) for k, a, b in S.spans(t)]
+        covered = sum(any(a <= i < b for a, b in spans) for i in range(at, at + len(secret)))
+        found, missed = found + (covered >= 0.9 * len(secret)), missed + (covered < 0.9 * len(secret))
+        wrong += sum(k == "entropy" and (b <= at or a >= at + len(secret)) for k, a, b in S.spans(t))
+    recall, precision = found / (found + missed), found / (found + wrong)
+    assert recall >= 0.95 and precision >= 0.95, (recall, precision)
