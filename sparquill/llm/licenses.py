@@ -14,17 +14,37 @@ import pkgutil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns and what they become, in this order, in lower-case text. Both Java and RE2 read them alike.
+# Published guidelines for matching licenses count these pairs of spellings as one. Each is written as a rule that
+# brings both sides to one form; a rule may go further than its pairs (any -ise becomes -ize), which both texts undergo alike.
+#   acknowledgement acknowledgment, analogue analog, analyse analyze, artefact artifact, authorisation authorization, authorised
+#   authorized, calibre caliber, cancelled canceled, capitalisations capitalizations, catalogue catalog, categorise categorize, centre
+#   center, copyright owner copyright holder, emphasised emphasized, favour favor, favourite favorite, fulfil fulfill, fulfilment
+#   fulfillment, initialise initialize, judgement judgment, labelling labeling, labour labor, licence license, maximise maximize,
+#   modelled modeled, modelling modeling, non-commercial noncommercial, offence offense, optimise optimize, organisation
+#   organization, organise organize, per cent percent, practise practice, programme program, realise realize, recognise recognize,
+#   signalling signaling, sub-license sublicense, sub license sublicense, utilisation utilization, whilst while
+#: Patterns and what they become, in this order, in lower-case text. Both Java and RE2 read them alike; $1 is the first group.
 RULES = (
     (r"(?m)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$", " "),
     (r"all rights reserved", " "),
-    (r"licence", "license"),
-    (r"sub-?license", "sublicense"),
-    (r"organisation", "organization"),
-    (r"non-?commercial", "noncommercial"),
+    (r"(licen|offen)ce", "$1se"),
+    (r"(non|sub)[- ](commercial|license)", "$1$2"),
+    (r"copyright owner", "copyright holder"),
+    (r"whilst", "while"),
+    (r"programme", "program"),
+    (r"per cent", "percent"),
+    (r"practi[cs]e", "practice"),
+    (r"([a-z])[iy][sz](e[ds]?|ing|ations?)", "$1iz$2"),
+    (r"(fav|lab|hon|behavi|col)our", "$1or"),
+    (r"(cent|calib)re", "$1er"),
+    (r"(an|cat)alogue", "$1alog"),
+    (r"(judg|acknowledg)ement", "$1ment"),
+    (r"(fulfil|cancel|label|model|signal)l(ed|ing|ment)?", "$1$2"),
+    (r"art[ei]fact", "artifact"),
     (r"https?://", "https "),
-    (r"[^\p{L}\p{N}]+", " "),
 )
+#: What is neither letter nor digit is a space; lines stay apart until they have been looked at.
+_GAPS, _BREAKS = r"[^\p{L}\p{N}\n]+", r"[ \n]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -105,11 +125,20 @@ KNOWN = (*_NOTICES, *_whole(), *_lines())
 MOST = 1_000
 
 
-def canonical(text: Column) -> Column:
+def spelled(text: Column) -> Column:
+    """The canonical text with its lines still apart."""
     out = F.lower(text)
     for pattern, by in RULES:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    return F.trim(out)
+    return F.regexp_replace(out, F.lit(_GAPS), F.lit(" "))
+
+
+def joined(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, F.lit(_BREAKS), F.lit(" ")))
+
+
+def canonical(text: Column) -> Column:
+    return joined(spelled(text))
 
 
 def digest(text: Column) -> Column:
@@ -133,10 +162,12 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     ours = found.orderBy("d").collect()
     by_digest = F.create_map(*(F.lit(x) for r in ours for x in r))  # as many as ``known``
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", digest(text).alias("text_sha256"), F.split(text, "\n").alias("__lines"))
+    # Rules are applied once, to the whole text: none reaches over a line's end but by a space, and gaps at line ends are trimmed.
+    own = docs.select("doc_id", spelled(text).alias("__text"))
+    own = own.select("doc_id", F.sha2(joined(F.col("__text")), 256).alias("text_sha256"), F.split("__text", "\n").alias("__lines"))
     own = own.join(F.broadcast(found), F.col("text_sha256") == F.col("d"), "left").withColumnRenamed("license", "text_license")
     # A set of literals is hashed, a map is searched from its start: only hits are looked up in it.
-    hits = F.filter(F.transform("__lines", digest), lambda x: x.isin([r.d for r in ours]))
+    hits = F.filter(F.transform("__lines", lambda x: F.sha2(F.trim(x), 256)), lambda x: x.isin([r.d for r in ours]))
     lines = F.transform(hits, lambda x: F.element_at(by_digest, x))
     own = own.withColumn("__of", lines)
     return own.select("doc_id", "text_sha256", "text_license", F.array_join(F.array_sort(F.array_distinct("__of")), ",").alias("line_licenses"), F.size("__of").cast("bigint").alias("n_license_lines"))
@@ -150,8 +181,8 @@ def scan_sql(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
 
     def canon(x: str) -> str:
         out = f"lower({x})"
-        for pattern, by in RULES:
-            out = f"regexp_replace({out}, {q(pattern)}, {q(by)}, 'g')"
+        for pattern, by in (*RULES, (r"[^\p{L}\p{N}]+", " ")):
+            out = f"regexp_replace({out}, {q(pattern)}, {q(by.replace('$', chr(92)))}, 'g')"
         return f"trim({out})"
 
     rows = ", ".join(f"({q(a)}, {q(b)})" for a, b in known)

@@ -1,6 +1,7 @@
 import pkgutil
 
 import duckdb
+from pyspark.sql import functions as F
 
 from sparquill.llm import licenses
 
@@ -44,3 +45,21 @@ def test_full_texts_and_notices_of_common_licenses(spark):
     documents = documents.toPandas()
     want = duckdb.sql(licenses.scan_sql()).fetchall()
     assert sorted(want, key=repr) == sorted(map(tuple, got.values()), key=repr)
+
+
+PAIRS = """acknowledgement acknowledgment, analogue analog, analyse analyze, artefact artifact, authorisation authorization, authorised authorized, calibre caliber, cancelled canceled,
+capitalisations capitalizations, catalogue catalog, categorise categorize, centre center, copyright-owner copyright-holder, emphasised emphasized, favour favor, favourite favorite, fulfil fulfill,
+fulfilment fulfillment, initialise initialize, judgement judgment, labelling labeling, labour labor, licence license, maximise maximize, modelled modeled, modelling modeling, non-commercial noncommercial,
+offence offense, optimise optimize, organisation organization, organise organize, per_cent percent, practise practice, programme program, realise realize, recognise recognize, signalling signaling,
+sub-license sublicense, sub_license sublicense, utilisation utilization, whilst while"""
+
+
+def test_equivalent_spellings(spark):
+    pairs = [x.split() for x in PAIRS.replace("\n", " ").split(", ")]
+    rows = [(i, *(f"the {w.replace('copyright-', 'copyright ').replace('_', ' ')} of this".upper() for w in p)) for i, p in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "i int, a string, b string").select("i", licenses.canonical(F.col("a")).alias("a"), licenses.canonical(F.col("b")).alias("b"))
+    assert [r for r in df.collect() if r.a != r.b] == []
+    documents = make(spark, [(r[0], r[1] + "\n" + r[2]) for r in rows])
+    got = [tuple(r) for r in licenses.scan(documents).collect()]
+    documents = documents.toPandas()  # noqa: F841  read by DuckDB
+    assert sorted(got, key=repr) == sorted(duckdb.sql(licenses.scan_sql()).fetchall(), key=repr)
