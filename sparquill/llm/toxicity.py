@@ -35,6 +35,8 @@ FIT_ROWS = 20_000
 #: Prior mass as a share of each class's own, least z value and documents of a toxic word.
 PRIOR, LEAST_Z, LEAST_DOCS = 0.2, 2.8, 3
 THRESHOLD = 0.3
+#: The score of a model that knows no toxic word, at most.
+UNKNOWN = THRESHOLD / 2
 #: Letters of a word's start, which counts as a token too and scores a word that has no score of its own.
 START = 6
 _WORD = re.compile(r"\w+")
@@ -95,7 +97,11 @@ class Model:
         return max(-5.0, min(15.0, max(e, default=-5.0))), math.log1p(sum(x for x in e if x > 0))
 
     def score(self, text: str | None) -> float:
-        a, b = self.evidence(*self.passages(text))
+        return self.chance(*self.passages(text))
+
+    def chance(self, n: int, found: list[tuple[int, int, float]]) -> float:
+        """The score of a text of n words with these passages."""
+        a, b = self.evidence(n, found)
         z = self.curve[0] + self.curve[1] * a + self.curve[2] * b
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
@@ -124,8 +130,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     At most about ``rows`` of them, chosen by a hash of the id; of texts that
     are copies or nearly so, one. Null texts and labels are left out. With no
-    labelled rows, or of one class only, no word is toxic and all scores are
-    the share of toxic rows.
+    labelled rows, or of one class only, or where no word stands out, no word is
+    toxic and nothing is flagged: all scores are the share of toxic rows, or
+    UNKNOWN where that is more or there are no rows of both classes.
     """
     known = labels.filter("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -160,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         return f
 
     n1, n0 = (sample.filter(c).count() for c in ("toxic > 0", "toxic <= 0"))
-    share = (n1 + 0.5) / (n1 + n0 + 1)
+    share = min(UNKNOWN, (n1 + 0.5) / (n1 + n0 + 1))
     flat = Model({}, -1e-9, 0.0, (math.log(share / (1 - share)), 0.0, 0.0))
     if not n1 or not n0:
         return flat
@@ -210,10 +217,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def make():
         def f(ids, texts):
             found = [model.passages(t) for t in texts]
-            got = [model.score(t) if x else None for t, (_, x) in zip(texts, found)]
-            none = model.score("")
+            got = [model.chance(n, x) for n, x in found]
             held = [i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids]
-            got = [none if s is None else s for s in got]
             return {"doc_id": ids, "held_out": held, "score": got, "predicted": [int(s >= threshold) for s in got], "passages": [[{"start": a, "end": b, "score": s} for a, b, s in x] for _, x in found]}
 
         return f

@@ -74,5 +74,69 @@ def test_no_labels_and_no_rows(spark):
     docs = make(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     model = T.fit(docs, none)
-    assert {r.predicted for r in T.score(docs, model).collect()} == {1}  # no rows: even odds, over the threshold
+    assert {r.predicted for r in T.score(docs, model).collect()} == {0}  # nothing is known to be toxic
     assert T.score(make(spark, []), model).count() == 0
+
+
+def test_without_both_classes_nothing_is_flagged(spark, rnd):
+    rows, _ = corpus(rnd, 40)
+    docs = make(spark, rows)
+    for labels in ([], [(i, 1, 1) for i in range(40)], [(i, 1, 0) for i in range(40)], [(i, 1, i % 2) for i in range(4)]):
+        model = T.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+        assert T.clean(docs, model).count() == 40, labels
+
+
+def test_fitted_figures_match_their_definition(spark, rnd):
+    """Log-odds, the prior, the words that count, K and the curve, by plain counting over the same rows."""
+    import math
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    rows, labels = corpus(rnd, 300)
+    model = T.fit(make(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    of = {i: t for i, _, t in labels}
+    used = [(t, of[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    count, inside = (Counter(), Counter()), (Counter(), Counter())
+    for t, y in used:
+        w = re.findall(r"\w+", t.lower())
+        w += [x[:6] + "*" for x in w if len(x) > 6]
+        count[y].update(w)
+        inside[y].update(set(w))
+    n = [sum(y == k for _, y in used) for k in (0, 1)]
+    total = [sum(c.values()) for c in count]
+    want, hit = {}, [0, 0]
+    for w in inside[1]:
+        d = [inside[0][w], inside[1][w]]
+        q = sum(d) / sum(n)
+        c = [d[k] + 0.2 * n[k] * q for k in (0, 1)]
+        m = [n[k] * 1.2 - c[k] + 0.5 for k in (0, 1)]
+        z = (math.log(c[1] / m[1]) - math.log(c[0] / m[0])) / math.sqrt(sum(1 / x for x in (*c, *m)))
+        if d[1] >= 3 and z >= 2.8:
+            hit = [h + count[k][w] for k, h in enumerate(hit)]
+            share = (count[0][w] + count[1][w]) / sum(total)
+            p = [(count[k][w] + 0.2 * total[k] * share) / (total[k] * 1.2) for k in (0, 1)]
+            if p[1] > p[0]:
+                want[w] = math.log(p[1] / p[0])
+    assert model.words.keys() == want.keys() and {"vile", "foul", "nasty"} <= want.keys()
+    assert all(abs(model.words[w] - s) < 1e-9 for w, s in want.items())
+    other = math.log((1 - hit[1] / (total[1] + 1)) / (1 - hit[0] / (total[0] + 1)))
+    assert abs(model.other - min(other, -1e-6)) < 1e-9
+
+    def parts(t):
+        w = re.findall(r"\w+", t.lower())
+        return len(w), [s for _, _, s in brute_segments([want.get(x) or want.get(x[:6] + "*") or other for x in w])]
+
+    seen = [(*parts(t), y) for t, y in used[:60]]
+    for (n_words, s, _), (t, _) in zip(seen, used):
+        got_n, got = model.passages(t)
+        assert got_n == n_words and np.allclose(sorted(x for _, _, x in got), sorted(s))
+    least = min(want.values())
+    clean = [model.passages(t) for t, y in used if not y]
+    over = sum(s >= least for _, f in clean for _, _, s in f)
+    assert abs(model.log_k - (math.log((over + 0.5) / (sum(k for k, _ in clean) + 1)) + least)) < 1e-9
+    x = np.array([[1.0, *model.evidence(*model.passages(t))] for t, _ in used])
+    p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.curve), -30, 30)))
+    slope = x.T @ (np.array([y for _, y in used]) - p) - np.array([1e-6, 0.01, 0.01]) * np.array(model.curve)
+    assert abs(slope).max() < 1e-4  # the curve is where the penalised likelihood is greatest
