@@ -151,7 +151,8 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = PIECES) ->
         parts = max(1, -(-n // per_partition))
         last = turn > 0 and (parts == 1 or total >= before)
         before = total if turn else math.inf
-        dealt = left.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
+        # With the row's place in the written table, so that rows that are equal are not dealt to one partition.
+        dealt = left.withColumn("place", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("place", F.lit(turn))).drop("place")
         now = written(_packed(dealt, capacity, turn, last))
         placed = now.filter("sequence_id is not null")
         done = placed if done is None else done.unionByName(placed)

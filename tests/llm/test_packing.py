@@ -83,3 +83,11 @@ def test_exchanges_go_on_while_sequences_get_fewer(spark, rnd):
     out = packing.pack(items, per_partition=60).collect()
     assert sorted(r.length for r in out) == sorted(n) and max(r.turn for r in out) > 1
     assert len({r.sequence_id for r in out}) <= 560  # the bound is 524; 565 after two turns
+
+
+def test_rows_that_are_equal_are_dealt_apart(spark, monkeypatch):
+    items = spark.createDataFrame([(7, 0, 0, 300, 1)] * 4000, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    out = packing.pack(items, per_partition=500).collect()
+    first = [r for r in out if r.turn == 0]
+    assert len(out) == 4000 and len({r.sequence_id for r in out}) <= 1334 + 8  # partitions are certified one by one
+    assert len({r.sequence_id >> 32 for r in first}) > 5
