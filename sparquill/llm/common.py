@@ -50,6 +50,11 @@ def written(df: DataFrame, *, temporary: bool = True) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all that ``written`` wrote for this session; results that were not saved are lost with it."""
+    _remove(spark, f"{shared_dir(spark)}/sparquill")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` gave and that nothing will read again."""
     for t in tables:
