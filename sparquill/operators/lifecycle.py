@@ -500,7 +500,8 @@ class Index:
     def tables(self, scorer: str | None = None, terms: list[str] | None = None) -> build.Tables:
         """Postings and statistics of the live view; corpus figures come from the manifest. ``terms``: all that will be asked for."""
         v = self.view()
-        corpus = self.spark.createDataFrame([(v.n, v.total, v.total / v.n if v.n else 0.0)], "n bigint, total_terms bigint, avgdl double")
+        figures = (v.n, "n", "bigint"), (v.total, "total_terms", "bigint"), (v.total / v.n if v.n else 0.0, "avgdl", "double")
+        corpus = self.spark.range(0, 1, 1, 1).select(*(F.lit(x).cast(kind).alias(c) for x, c, kind in figures))
         if (scorer or self.config.scorer) == "bm25f":
             if not self._by_field:  # the index keeps no fields
                 return build.field_build(build.resolved_fields(self.documents()), self.config.field_weights, self.analyzer)
@@ -565,14 +566,13 @@ class Index:
         asked = list(dict.fromkeys([*query.terms, *query.excluded, *(t for p in query.phrases for t in p)]))
         tables = self.tables(name, asked)
         df = {r.term: r.df for r in tables.terms.filter(F.col("term").isin(query.terms)).collect()}  # the query's terms
-        n = tables.corpus.first().n
-        idf = {t: math.log(n / d) for t, d in df.items()}
-        known = self.spark.createDataFrame(list(df.items()), "term string, df bigint")
-        tables = build.Tables(tables.postings, known, tables.corpus, tables.lengths)
+        v = self.view()
+        idf = {t: math.log(v.n / d) for t, d in df.items()}
         toks = build.analyzed(self.documents(), self.analyzer).select("doc_id", "toks") if query.phrases else None
         if per_shard:
             return self._sharded(tables, query, k, scorer, toks, digits), idf
-        return plan.search(tables, query, k, scorer, toks, self.config.phrase_boost, digits), idf
+        hits = plan.known_scores(tables.postings, query.weights, df, v.n, v.total / max(1, v.n), scorer)
+        return plan.search(tables, query, k, scorer, toks, self.config.phrase_boost, digits, hits), idf
 
     def _sharded(self, tables: build.Tables, query: ParsedQuery, k: int, scorer, toks: DataFrame | None, digits: int | None = None) -> DataFrame:
         """Each shard ranks with its own statistics; the lists are fused by score or by reciprocal rank."""

@@ -53,6 +53,17 @@ def scored(tables: Tables, weights: dict[str, int], scorer: Scorer | None = None
     return post.groupBy("doc_id").agg(F.sum(F.col("qtf") * impact(scorer or BM25())).alias("score"))
 
 
+def known_scores(postings: DataFrame, weights: dict[str, int], df: dict[str, int], n: int, avgdl: float, scorer: Scorer | None = None) -> DataFrame:
+    """(doc_id, score) where the statistics are known: they are literals, so postings meet no other table."""
+    scorer = scorer or BM25()
+    own = [t for t in weights if t in df]
+    number, weight = F.lit(None).cast("double"), F.lit(None).cast("double")
+    if own:
+        number, weight = (F.element_at(F.create_map(*(x for t in own for x in (F.lit(t), F.lit(float(of[t]))))), F.col("term")) for of in (df, weights))
+    part = scorer.impact(F.col("tf").cast("double"), F.col("dl").cast("double"), F.lit(float(avgdl)), scorer.idf(F.lit(float(n)), number))
+    return postings.filter(F.col("term").isin(own)).groupBy("doc_id").agg(F.sum(weight * part).alias("score"))
+
+
 def having_all(tables: Tables, terms: Iterable[str]) -> DataFrame:
     """(doc_id) of the documents with every term."""
     terms = list(dict.fromkeys(terms))
@@ -85,11 +96,14 @@ def top(hits: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # k rows
 
 
-def search(tables: Tables, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, toks: DataFrame | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> DataFrame:
-    """(doc_id, score, rank). ``toks`` (doc_id, toks) is needed for phrases only. A query of exclusions finds nothing."""
+def search(tables: Tables, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, toks: DataFrame | None = None, boost: float = PHRASE_BOOST, digits: int | None = None, hits: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score, rank). ``toks`` (doc_id, toks) is needed for phrases only. A query of exclusions finds nothing.
+
+    ``hits``: (doc_id, score) of the query's disjunction, if it is known.
+    """
     if not query.terms:
         return _empty(tables)
-    hits = scored(tables, query.weights, scorer)
+    hits = scored(tables, query.weights, scorer) if hits is None else hits
     if query.must:
         hits = hits.join(having_all(tables, query.must), "doc_id", "left_semi")
     if query.excluded:
