@@ -29,10 +29,10 @@ def analyzed(docs: DataFrame, analyzer: Analyzer, text: str = "text", id_col: st
     return docs.select(F.col(id_col).alias("doc_id"), *extra, analyzer.column(text).alias("toks")).withColumn("dl", F.size("toks"))
 
 
-def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", extra: tuple[str, ...] = (), only: DataFrame | list[str] | None = None) -> DataFrame:
     """(term, doc_id, tf, dl) and extra columns of the document: one row for each distinct term of a document.
 
-    ``only``: (term) of the terms that are wanted, each once; the others go before anything is grouped.
+    ``only``: the terms that are wanted, as a list or a table (term), each once; the others go before anything is grouped.
 
     Terms are exploded at once, so that grouping runs on flat rows with
     map-side partial counts; stems come from a join on distinct terms.
@@ -40,22 +40,30 @@ def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "tex
     analyzer = analyzer or Analyzer()
     flat = analyzed(docs, analyzer, text, id_col, extra).select("doc_id", "dl", *extra, F.explode("toks").alias("term"))
     if only is not None and not analyzer.stemming:
-        flat = flat.join(only, "term", "left_semi")
+        flat = _wanted(flat, only)
     counted = flat.groupBy("term", "doc_id", "dl", *extra).agg(F.count("*").cast("int").alias("tf"))
     if analyzer.stemming:
         counted = analyzer.stemmed(counted).groupBy("term", "doc_id", "dl", *extra).agg(F.sum("tf").cast("int").alias("tf"))
     return counted.select("term", "doc_id", "tf", "dl", *extra)
 
 
+def _wanted(flat: DataFrame, only: DataFrame | list[str]) -> DataFrame:
+    return flat.filter(F.col("term").isin(only)) if isinstance(only, list) else flat.join(only, "term", "left_semi")
+
+
 def term_stats(post: DataFrame, corpus: DataFrame | None = None, scorer: Scorer | None = None) -> DataFrame:
-    """(term, df), and with corpus statistics the exact greatest impact of each term as ``ub``."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df), and with corpus statistics the exact greatest impact of each term as ``ub``.
+
+    An impact is its term's idf, which is not negative, times what the posting
+    gives, so the greatest of the latter is found while postings are counted.
+    """
     if corpus is None:
-        return df
+        return post.groupBy("term").agg(F.count("*").alias("df"))
     scorer = scorer or BM25()
-    one = post.join(df, "term").crossJoin(F.broadcast(corpus))  # one row
-    impact = scorer.impact(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl"), scorer.idf(F.col("n").cast("double"), F.col("df").cast("double")))
-    return one.groupBy("term", "df").agg(F.max(impact).alias("ub"))
+    part = scorer.impact(F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("avgdl"), F.lit(1.0))
+    one = post.crossJoin(F.broadcast(corpus.select("n", "avgdl")))  # one row
+    of = one.groupBy("term").agg(F.count("*").alias("df"), F.max(part).alias("__part"), F.first("n").alias("__n"))
+    return of.select("term", "df", (scorer.idf(F.col("__n").cast("double"), F.col("df").cast("double")) * F.col("__part")).alias("ub"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -63,7 +71,7 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_terms"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def build(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", only: DataFrame | None = None) -> Tables:
+def build(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "text", id_col: str = "doc_id", only: DataFrame | list[str] | None = None) -> Tables:
     analyzer = analyzer or Analyzer()
     post = postings(docs, analyzer, text, id_col, only=only)
     lengths = analyzed(docs, analyzer, text, id_col).select("doc_id", "dl")
@@ -103,20 +111,28 @@ def pseudo_postings(flat: DataFrame, fields: tuple[FieldWeight, ...], means: dic
     return post.select("term", "doc_id", F.greatest(F.lit(1), F.round(F.col("p") * 1000.0).cast("int")).alias("tf"), F.lit(0).alias("dl"))
 
 
-def field_build(docs: DataFrame, fields: tuple[FieldWeight, ...] = DEFAULT_FIELDS, analyzer: Analyzer | None = None) -> Tables:
+def field_build(docs: DataFrame, fields: tuple[FieldWeight, ...] = DEFAULT_FIELDS, analyzer: Analyzer | None = None, only: DataFrame | list[str] | None = None) -> Tables:
     """Tables over the pseudo frequency: tf is in thousandths, a sum of weighted, length-normalised field frequencies.
 
     Average lengths are over the documents that have the field (1 where none
     has); a document counts in n whether or not it has a configured field.
     """
+    analyzer = analyzer or Analyzer()
     table = docs.sparkSession.createDataFrame([(f.name, float(f.weight), float(f.b)) for f in fields], "field string, w double, b double")
-    flat = field_terms(docs, analyzer).join(F.broadcast(table), "field")  # as many rows as configured fields
-    have = flat.select("doc_id", "field", "len").distinct()
-    average = have.groupBy("field").agg(F.avg("len").alias("mean"))
-    flat = flat.filter("term is not null").join(F.broadcast(average), "field")
+    rows = docs.select("doc_id", F.explode("fields").alias("field", "body")).join(F.broadcast(table), "field")  # as many rows as configured fields
+    rows = rows.select("doc_id", "field", "w", "b", analyzer.column("body").alias("toks")).withColumn("len", F.size("toks"))
+    average = rows.groupBy("field").agg(F.avg("len").alias("mean"))
+    flat = rows.select("doc_id", "field", "w", "b", "len", F.explode("toks").alias("term"))
+    if only is not None and not analyzer.stemming:
+        flat = _wanted(flat, only)
+    key = ("doc_id", "field", "w", "b", "len", "term")
+    flat = flat.groupBy(*key).agg(F.count("*").alias("tf"))
+    if analyzer.stemming:
+        flat = analyzer.stemmed(flat).groupBy(*key).agg(F.sum("tf").alias("tf"))
+    flat = flat.join(F.broadcast(average), "field")
     mean = F.when(F.col("mean") > 0, F.col("mean")).otherwise(F.lit(1.0))
     part = F.col("w") * F.col("tf") / (F.lit(1.0) - F.col("b") + F.col("b") * F.col("len") / mean)
     post = flat.groupBy("term", "doc_id").agg(F.sum(part).alias("p"))
     post = post.select("term", "doc_id", F.greatest(F.lit(1), F.round(F.col("p") * 1000.0).cast("int")).alias("tf"), F.lit(0).alias("dl"))
-    lengths = docs.select("doc_id").join(have.groupBy("doc_id").agg(F.sum("len").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
+    lengths = docs.select("doc_id").join(rows.groupBy("doc_id").agg(F.sum("len").alias("dl")), "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"))
     return Tables(post, term_stats(post), corpus_stats(lengths), lengths)

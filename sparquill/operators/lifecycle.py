@@ -44,6 +44,7 @@ _LOG = [x.split()[0] for x in versions.CHANGES.split(", ")]
 TABLES = {
     "docs": versions.CHANGES + ", shard int",
     "postings": "term string, doc_id string, tf int, dl int, seq bigint, shard int",
+    "terms": "term string, df bigint",
     "lengths": "doc_id string, seq bigint, dl int, shard int, segment_id string",
     "fields": "term string, doc_id string, field string, len int, tf int, seq bigint",
     "field_lengths": "doc_id string, field string, len int, seq bigint",
@@ -284,7 +285,11 @@ class Index:
             rows = rows.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(deal)))
         rows.sortWithinPartitions("doc_id").write.parquet(f"{root}/docs")
         docs = self.spark.read.schema(TABLES["docs"]).parquet(f"{root}/docs")
-        build.postings(docs, self.analyzer, extra=("seq", "shard")).sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
+        # Ranges of terms, and of documents within a frequent term: readers skip the files that have none of a query's terms.
+        post = build.postings(docs, self.analyzer, extra=("seq", "shard"))
+        post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
+        frequency = self._read("postings", [f"gen/{name}"]).groupBy("term").agg(F.count("*").alias("df"))
+        frequency.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/terms")
         build.analyzed(docs, self.analyzer, extra=("seq", "shard")).select("doc_id", "seq", "dl", "shard", F.lit(name).alias("segment_id")).write.parquet(f"{root}/lengths")
         n, total = self._read("lengths", [f"gen/{name}"]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if not n:
@@ -293,7 +298,7 @@ class Index:
         sizes = {}
         if self._by_field:
             flat = build.field_terms(build.resolved_fields(docs, extra=("seq",)), self.analyzer, extra=("seq",))
-            flat.sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/fields")
+            flat.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/fields")
             self._read("fields", [f"gen/{name}"]).select("doc_id", "field", "len", "seq").distinct().write.parquet(f"{root}/field_lengths")
             sizes = self._field_sizes(self._read("field_lengths", [f"gen/{name}"]))
         return {
@@ -428,7 +433,7 @@ class Index:
     def _usable(self) -> tuple[list[dict], bool]:
         """The generations whose files are there, and whether some are not; none at all is an error."""
         all_of = self.manifest["segments"]
-        there = [s for s in all_of if all(self.files.exists(f"{s['path']}/{k}/_SUCCESS") for k in ("docs", "postings", "lengths"))]
+        there = [s for s in all_of if all(self.files.exists(f"{s['path']}/{k}/_SUCCESS") for k in ("docs", "postings", "terms", "lengths"))]
         if all_of and not there:
             raise OSError(f"none of the {len(all_of)} generations of {self.path} can be read")
         return there, len(there) < len(all_of)
@@ -509,11 +514,20 @@ class Index:
             means = {f: t / n for f, (n, t) in v.fields.items()}
             flat = self.spark.createDataFrame([], TABLES["fields"]) if flat is None else flat
             post = build.pseudo_postings(flat.drop("seq"), self.config.field_weights, means)
-        elif terms is not None and self.warmed and self.warmed[0] == self.manifest["version"] and set(terms) <= self.warmed[1]:
+            return build.Tables(post, build.term_stats(post), corpus, self._lengths())
+        if terms is not None and self.warmed and self.warmed[0] == self.manifest["version"] and set(terms) <= self.warmed[1]:
             post = self.warmed[2]
         else:
             post = self._postings()
-        return build.Tables(post, build.term_stats(post), corpus, self._lengths())
+        return build.Tables(post, self._terms(post), corpus, self._lengths())
+
+    def _terms(self, post: DataFrame) -> DataFrame:
+        """(term, df) of the live view: as stored with the generations where nothing is void or pending, else counted."""
+        v = self.view()
+        if v.voids is not None or v.fresh is not None or not v.segments:
+            return build.term_stats(post)
+        stored = self._part("terms", v.segments)
+        return stored if len(v.segments) == 1 else stored.groupBy("term").agg(F.sum("df").alias("df"))
 
     def shard_column(self, column: str = "doc_id"):
         return self.ring.column(column)
@@ -593,7 +607,7 @@ class Index:
         """Caches the postings of the most frequent terms; searches for such terms alone read them, until the index changes."""
         post = self._postings()
         n = top_terms or self.config.warmup_top_terms
-        common = [r.term for r in build.term_stats(post).orderBy(F.desc("df"), "term").limit(n).collect()]  # n terms
+        common = [r.term for r in self._terms(post).orderBy(F.desc("df"), "term").limit(n).collect()]  # n terms
         if self.warmed:
             self.warmed[2].unpersist()
         self.warmed = (self.manifest["version"], frozenset(common), post.filter(F.col("term").isin(common)).cache())

@@ -35,8 +35,8 @@ def _docs(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
     return readers.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
-def _tables(spark: SparkSession, d: str) -> build.Tables:
-    return build.build(_docs(spark, d))
+def _tables(spark: SparkSession, d: str, only: list[str] | None = None) -> build.Tables:
+    return build.build(_docs(spark, d), only=only)
 
 
 # SQL
@@ -142,23 +142,24 @@ def stemmed_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
-    t = build.field_build(_fields(spark, d), FIELDS)
+    t = build.field_build(_fields(spark, d), FIELDS, only=parse(FLAGSHIP).terms)
     return plan.search(t, parse(FLAGSHIP), K, BM25F(), digits=DIGITS)
 
 
 def two_phase_topk(spark: SparkSession, d: str) -> DataFrame:
-    return plan.two_phase(_tables(spark, d), parse("the of license").weights, K, digits=DIGITS)
+    weights = parse("the of license").weights
+    return plan.two_phase(_tables(spark, d, list(weights)), weights, K, digits=DIGITS)
 
 
 def explain_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d)
     weights = parse(FLAGSHIP).weights
+    t = _tables(spark, d, list(weights))
     post = t.postings.filter(F.col("term").isin(list(weights))).join(t.terms, "term").crossJoin(F.broadcast(t.corpus))
     return post.select("doc_id", "term", "tf", "dl", "df", F.round(plan.impact(BM25()), DIGITS).alias("score"))
 
 
 def phrase_match(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark, d)
+    t = _tables(spark, d, ["of", "the"])
     own = build.analyzed(_docs(spark, d), Analyzer()).join(plan.having_all(t, ["of", "the"]), "doc_id", "left_semi")
     return own.filter(plan.holds_phrase(F.col("toks"), ["of", "the"])).select("doc_id")
 
@@ -177,7 +178,7 @@ def batch_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    hits = plan.search(_tables(spark, d), parse(FLAGSHIP), K, digits=DIGITS)
+    hits = plan.scan_search(docs, parse(FLAGSHIP), K, digits=DIGITS)
     return with_snippets(hits, docs, parse(FLAGSHIP).terms).select("doc_id", "rank", "snippet")
 
 
@@ -201,8 +202,7 @@ def shard_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _two_lists(spark: SparkSession, d: str) -> list[DataFrame]:
-    t = _tables(spark, d)
-    return [plan.search(t, parse(FLAGSHIP), 100, s, digits=DIGITS) for s in (BM25(), TFIDF())]
+    return [plan.scan_search(_docs(spark, d), parse(FLAGSHIP), 100, s, digits=DIGITS) for s in (BM25(), TFIDF())]
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ def score_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def per_shard_topk(spark: SparkSession, d: str) -> DataFrame:
     """Each shard ranks with its own statistics; lists are fused with the shards' shares as weights."""
-    t = _tables(spark, d)
+    t = _tables(spark, d, parse(FLAGSHIP).terms)
     shard = _ring().column(F.col("doc_id").cast("string"))
     own = build.Tables(t.postings.withColumn("shard", shard), t.terms, t.corpus, t.lengths.withColumn("shard", shard))
     lists, sizes = plan.per_shard(own, parse(FLAGSHIP), K * SHARDS, BM25(), digits=DIGITS)
