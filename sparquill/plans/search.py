@@ -113,31 +113,34 @@ def search(tables: Tables, query: ParsedQuery, k: int = DEFAULT_K, scorer: Score
     return top(hits, k, digits)
 
 
-def scan_search(docs: DataFrame, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, analyzer: Analyzer | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> DataFrame:
-    """The same from texts without an index: one scan for statistics, one for scores, and no shuffle.
-
-    A document is a row with a count for each term of the query, so conditions
-    and phrases are tests of a row. For analyzers without stemming.
-    """
-    analyzer = analyzer or Analyzer()
+def _counted(docs: DataFrame, query: ParsedQuery, analyzer: Analyzer, *extra: Column) -> tuple[DataFrame, dict[str, str]]:
+    """A row for each document with dl, the extra columns, a count for each term of the query and a mark for each phrase; the counts' names."""
     asked = list(dict.fromkeys([*query.terms, *query.excluded]))
-    toks = analyzed(docs, analyzer)
-    if not query.terms:
-        return toks.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
-    held = [holds_phrase(F.col("toks"), p).cast("int").alias(f"__p{i}") for i, p in enumerate(query.phrases)]
-    rows = toks.select("doc_id", "dl", F.filter("toks", lambda t: t.isin(asked)).alias("__own"), *held)
     tf = {t: f"__t{i}" for i, t in enumerate(asked)}
-    rows = rows.select("doc_id", "dl", *((F.size("__own") - F.size(F.array_remove("__own", t))).alias(c) for t, c in tf.items()), *(f"__p{i}" for i in range(len(held))))
-    df = {t: F.sum((F.col(c) > 0).cast("long")).alias(f"__df{c}") for t, c in tf.items()}
-    stats = rows.agg(F.count("*").alias("__n"), F.avg("dl").alias("__avgdl"), *df.values())
-    both = rows.crossJoin(F.broadcast(stats))  # one row
-    score, scorer = F.lit(0.0), scorer or BM25()
+    own = F.filter("toks", lambda t: t.isin(asked)).alias("__own")
+    held = [holds_phrase(F.col("toks"), p).cast("int").alias(f"__p{i}") for i, p in enumerate(query.phrases)]
+    rows = analyzed(docs, analyzer).select("doc_id", "dl", own, *held)
+    counts = [(F.size("__own") - F.size(F.array_remove("__own", t))).alias(c) for t, c in tf.items()]
+    return rows.select("doc_id", "dl", *extra, *counts, *(f"__p{i}" for i in range(len(held)))), tf
+
+
+def _statistics(tf: dict[str, str]) -> list[Column]:
+    return [F.count("*").alias("__n"), F.avg("dl").alias("__avgdl"), *(F.sum((F.col(c) > 0).cast("long")).alias(f"__df{c}") for c in tf.values())]
+
+
+def _row_score(query: ParsedQuery, tf: dict[str, str], scorer: Scorer, boost: float) -> Column:
+    """The score of a counted row beside its statistics; negative where the query's conditions do not hold.
+
+    The test is part of the score, so that it is not evaluated on texts a
+    second time below the join with the statistics.
+    """
+    score = F.lit(0.0)
     n, avgdl, dl = (F.col(c).cast("double") for c in ("__n", "__avgdl", "dl"))
     for t, weight in query.weights.items():
         part = scorer.impact(F.col(tf[t]).cast("double"), dl, avgdl, scorer.idf(n, F.col(f"__df{tf[t]}").cast("double")))
         score = score + F.when(F.col(tf[t]) > 0, F.lit(float(weight)) * part).otherwise(F.lit(0.0))
     boost = PHRASE_BOOST if boost == 0 else max(boost, 0.0)
-    for i in range(len(held)):
+    for i in range(len(query.phrases)):
         score = score * F.when(F.col(f"__p{i}") > 0, F.lit(1.0 + boost)).otherwise(F.lit(1.0))
     ok = F.lit(False)
     for t in query.terms:
@@ -146,8 +149,33 @@ def scan_search(docs: DataFrame, query: ParsedQuery, k: int = DEFAULT_K, scorer:
         ok &= F.col(tf[t]) > 0
     for t in query.excluded:
         ok &= F.col(tf[t]) == 0
-    # The test is part of the score, so that it is not evaluated on texts a second time below the join.
-    return top(both.select("doc_id", F.when(ok, score).otherwise(F.lit(-1.0)).alias("score")).filter("score >= 0"), k, digits)
+    return F.when(ok, score).otherwise(F.lit(-1.0))
+
+
+def scan_search(docs: DataFrame, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, analyzer: Analyzer | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> DataFrame:
+    """The same from texts without an index: one scan for statistics, one for scores, and no shuffle.
+
+    A document is a row with a count for each term of the query, so conditions
+    and phrases are tests of a row. For analyzers without stemming.
+    """
+    rows, tf = _counted(docs, query, analyzer or Analyzer())
+    if not query.terms:
+        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+    both = rows.crossJoin(F.broadcast(rows.agg(*_statistics(tf))))  # one row
+    return top(both.select("doc_id", _row_score(query, tf, scorer or BM25(), boost).alias("score")).filter("score >= 0"), k, digits)
+
+
+def scan_per_shard(docs: DataFrame, shard: Column, query: ParsedQuery, k: int, scorer: Scorer | None = None, analyzer: Analyzer | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``per_shard`` from texts without an index; ``shard`` is a column of doc_id. Narrow rows of hits alone are shuffled."""
+    rows, tf = _counted(docs, query, analyzer or Analyzer(), shard.alias("shard"))
+    stats = rows.groupBy("shard").agg(*_statistics(tf))
+    stats = docs.sparkSession.createDataFrame(stats.collect(), stats.schema)  # a row a shard, wanted three times
+    both = rows.join(F.broadcast(stats), "shard")  # a row a shard
+    score = _row_score(query, tf, scorer or BM25(), boost)
+    hits = both.select("shard", "doc_id", (score if digits is None else F.round(score, digits)).alias("score")).filter("score >= 0")
+    order = Window.partitionBy("shard").orderBy(F.desc("score"), "doc_id")
+    lists = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return lists, stats.select("shard", F.col("__n").alias("n"), F.col("__avgdl").alias("avgdl"))
 
 
 def search_batch(tables: Tables, queries: DataFrame, k: int = DEFAULT_K, scorer: Scorer | None = None, digits: int | None = None) -> DataFrame:

@@ -217,13 +217,20 @@ def score_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def per_shard_topk(spark: SparkSession, d: str) -> DataFrame:
     """Each shard ranks with its own statistics; lists are fused with the shards' shares as weights."""
-    t = _tables(spark, d, parse(FLAGSHIP).terms)
     shard = _ring().column(F.col("doc_id").cast("string"))
-    own = build.Tables(t.postings.withColumn("shard", shard), t.terms, t.corpus, t.lengths.withColumn("shard", shard))
-    lists, sizes = plan.per_shard(own, parse(FLAGSHIP), K * SHARDS, BM25(), digits=DIGITS)
+    lists, sizes = plan.scan_per_shard(_docs(spark, d), shard, parse(FLAGSHIP), K * SHARDS, digits=DIGITS)
     return fusion.reciprocal_rank(lists.join(F.broadcast(fusion.weights_of(sizes)), "shard"), K, digits=DIGITS)  # a row a shard
 
 
+def index_per_shard_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a written index whose files are dealt by shard."""
+    index = Index(spark, _scratch(spark), Config(num_shards=SHARDS, global_fusion="rrf"))
+    index.upsert(_docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text"))
+    index.flush()
+    ranked, _ = index.ranked(index.parse(FLAGSHIP), K, per_shard=True, digits=DIGITS)
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 # Versions and policy
 
 
@@ -452,7 +459,7 @@ for _f in (
     two_phase_topk, explain_scores, phrase_match, batch_topk, snippets, ring_hash, shard_assign, shard_counts, rrf_fusion, score_fusion,
     per_shard_topk, latest_version, tombstone_antijoin, compact_stats, live_topk, merge_policy, expunge_deletes, ndcg_mrr_recall_map,
     mean_effectiveness, latency_percentiles, gen_corpus, read_formats, changelog_stream,
-    index_topk, index_pending_topk, index_bm25f_topk, index_shard_counts, index_log,
+    index_topk, index_pending_topk, index_per_shard_topk, index_bm25f_topk, index_shard_counts, index_log,
 ):
     QUERIES[_f.__name__] = _f
 
@@ -571,6 +578,7 @@ ORACLE: dict[str, str] = {
     "rrf_fusion": f"{_lists_sql()}, f AS (SELECT doc_id, sum(1 / (60::DOUBLE + rank)) AS score FROM l GROUP BY 1) {_top('f')}",
     "score_fusion": f"{_lists_sql()}, f AS (SELECT doc_id, max(score) AS score FROM l GROUP BY 1) {_top('f')}",
     "per_shard_topk": _per_shard_sql(),
+    "index_per_shard_topk": _per_shard_sql(),
     "latest_version": f"WITH {LOG}, {LIVE} SELECT doc_id, seq, length(text) AS chars FROM live",
     "tombstone_antijoin": "SELECT doc_id, lang FROM documents WHERE doc_id % 11 <> 0",
     "compact_stats": f"WITH {LIVE_POST} SELECT count(*) AS n, sum(len(toks))::BIGINT AS total_terms, round(avg(len(toks)), {DIGITS}) AS avgdl, (SELECT count(*) FROM post) AS n_postings FROM tk",
