@@ -16,15 +16,19 @@ import re
 from array import array
 from functools import lru_cache
 
+import regex
 import tiktoken
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks of one generation of the memo; two generations are held, about 200 bytes a chunk.
 MEMO = 250_000
 LONGEST_KEPT = 64
+#: Code points of a chunk from which its pre-tokens are found here: the library's pattern fails on runs of some 100,000 blanks.
+LONG = 10_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
+_PIECE = regex.compile(PATTERN)
 
 
 class Memo(dict):
@@ -71,7 +75,13 @@ class ByteBPE:
             raise ValueError(f"{path}: ids are not in the order of merges")
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids = Chunks(self, lambda s: array("I", self.encoding.encode_ordinary(s)).tobytes(), lambda i: array("I", [i]).tobytes())
+        self.ids = Chunks(self, self._chunk, lambda i: array("I", [i]).tobytes())
+
+    def _chunk(self, s: str) -> bytes:
+        if len(s) < LONG:
+            return array("I", self.encoding.encode_ordinary(s)).tobytes()
+        single = self.encoding._core_bpe.encode_single_piece
+        return b"".join(array("I", single(m.group().encode())).tobytes() for m in _PIECE.finditer(s))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -48,3 +48,13 @@ def test_counts_of_a_table(spark, rnd, odd):
     table = token_counts.prefix_table(make(spark, rows[:3]), PATH).collect()
     assert all(len(r.prefix_tokens) >= 1 and r.prefix_tokens[0] == 0 for r in table)
     assert token_counts.counts(make(spark, []), PATH).count() == 0
+
+
+def test_long_runs(rnd):
+    """Runs that the library's own pattern matcher does not survive are counted and encoded as the tokenizer does."""
+    tk, c, b = Tokenizer.from_file(PATH), token_counts.prefix_counter(PATH), byte_bpe(PATH)
+    for t in (" \n" * 300_000, "a" + " " * 150_001 + "b", "-" * 60_000, "x7k" * 40_000, "\x1c " * 40_000 + "é" * 9000, "del " * 50_000):
+        ids = tk.encode(t, add_special_tokens=False).ids
+        assert b.encode(t) == b"".join(i.to_bytes(4, "little") for i in ids)
+        got = c.prefixes(t)
+        assert len(got) == len(t) + 1 and got[-1] == len(ids)
