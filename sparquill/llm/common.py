@@ -71,8 +71,11 @@ def few_files(df: DataFrame, rows: int) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for plans made from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds the rows of an Arrow batch for plans made from here on; a session that allows fewer keeps its bound."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
