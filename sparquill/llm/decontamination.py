@@ -2,10 +2,12 @@
 
 A test item with a budget of e edits is cut into e + 1 pieces: wherever the
 item occurs with at most e edits, one piece occurs unchanged. All pieces of a
-block of items are sought in one pass over each text (Aho-Corasick), and the
-window around each hit is verified with Myers' bit-parallel edit distance over
-the whole item. Texts and items are compared in lower case, with runs of
-blanks as one space.
+block of items are sought in one pass over each text: the hashes of all its
+runs of PREFIX code points are looked up among those that pieces begin with
+(pieces that are shorter are sought by Aho-Corasick), and what is found is
+compared with the piece. The window around each hit is verified with Myers'
+bit-parallel edit distance over the whole item. Texts and items are compared in
+lower case, with runs of blanks as one space.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,11 @@ from sparquill.llm.common import kind, map_rows
 
 #: Edits allowed for each character of an item.
 RATE = 0.08
-#: Items and characters of a block: what a task holds of the benchmark at a time.
-BLOCK_ITEMS, BLOCK_CHARS = 5_000, 4_000_000
+#: Items and characters of a block: what a task holds of the benchmark at a time, some 150 MB.
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
+#: Code points that pieces are looked up by; bits of a hash that tell at once that no piece begins so.
+PREFIX, BITS = 8, 22
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANKS = re.compile(r"\s+")
 
 
@@ -53,6 +59,19 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def _starts(text: str) -> np.ndarray:
+    """A hash of each run of PREFIX code points."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = max(0, len(c) - PREFIX + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(PREFIX):
+        h *= _ODD
+        h += c[j : j + n]
+    h ^= h >> np.uint64(31)
+    h *= _ODD
+    return h
+
+
 class Myers:
     """Approximate search of one pattern, the pattern's rows held as bits of an integer."""
 
@@ -89,28 +108,55 @@ class Myers:
 
 
 class Block:
-    """Items with an automaton of all their pieces."""
+    """Items with what finds all their pieces."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items = [(i, t, int(rate * len(t))) for i, t in items]
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        found: list[tuple] = []
         for k, (_, t, e) in enumerate(self.items):
+            h = _starts(t)
             for start, piece in pieces(t, e):
-                at[piece].append((k, start))
-        self.automaton = ahocorasick.Automaton()
+                if len(piece) < PREFIX:
+                    at[piece].append((k, start))
+                else:
+                    found.append((h[start], k, start, len(piece)))
+        self.short = ahocorasick.Automaton() if at else None
         for piece, where in at.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        self.automaton.make_automaton()
+            self.short.add_word(piece, (len(piece), where))
+        if self.short:
+            self.short.make_automaton()
+        hashes = np.array([f[0] for f in found], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.item, self.start, self.size = (np.array([f[i] for f in found], np.int64)[order] for i in (1, 2, 3))
+        self.some = np.zeros(1 << BITS, bool)
+        self.some[(self.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
         self.forward: dict[int, Myers] = {}
         self.backward: dict[int, Myers] = {}
 
+    def hits(self, text: str) -> dict[int, set[int]]:
+        """By item, where it would start for a piece of it to stand as it does."""
+        starts: dict[int, set[int]] = defaultdict(set)
+        if self.short:
+            for end, (n, where) in self.short.iter(text):
+                for k, offset in where:
+                    starts[k].add(end + 1 - n - offset)
+        h = _starts(text)
+        at = np.flatnonzero(self.some[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+        if len(at):
+            first, last = (np.searchsorted(self.hashes, h[at], side) for side in ("left", "right"))
+            for i in np.flatnonzero(last > first).tolist():
+                p = int(at[i])
+                for j in range(first[i], last[i]):
+                    k, offset, n = int(self.item[j]), int(self.start[j]), int(self.size[j])
+                    if text[p : p + n] == self.items[k][1][offset : offset + n]:
+                        starts[k].add(p - offset)
+        return starts
+
     def matches(self, text: str) -> Iterator[tuple[object, int, int, int]]:
         """(item id, distance, start, end) of the best occurrence of each item within its budget."""
-        starts: dict[int, set[int]] = defaultdict(set)
-        for end, (n, where) in self.automaton.iter(text):
-            for k, offset in where:
-                starts[k].add(end + 1 - n - offset)
-        for k, at in starts.items():
+        for k, at in self.hits(text).items():
             item, pattern, budget = self.items[k]
             best = None
             for low, high in _windows(sorted(at), len(pattern), budget, len(text)):

@@ -67,3 +67,20 @@ def test_blocks_and_empty_tables(spark, monkeypatch, rnd):
     assert D.contaminated(make(spark, []), bench).count() == 0
     assert D.contaminated(docs, bench.limit(0)).count() == 0
     assert D.decontaminated(docs, bench.limit(0)).count() == 10
+
+
+def test_all_piece_hits_are_found(rnd):
+    for _ in range(60):
+        some = ["é漢😀 ab", "the cat ", "x", "a b c d e f g h ", words(rnd, 3)]
+        items = [(k, D.plain("".join(rnd.choice(some) for _ in range(rnd.randrange(1, 12))))) for k in range(8)]
+        items = [(k, t) for k, t in items if t]
+        block = D.Block(items, 0.08)
+        text = D.plain(" ".join(rnd.choice([*some, *(t for _, t in items)]) for _ in range(10)))
+        want = {}
+        for k, (_, t, e) in enumerate(block.items):
+            for start, piece in D.pieces(t, e):
+                for p in range(len(text) - len(piece) + 1):
+                    if text[p : p + len(piece)] == piece:
+                        want.setdefault(k, set()).add(p - start)
+        assert dict(block.hits(text)) == want
+    assert not D.Block([(1, "a short item of text")], 0.08).hits("")
