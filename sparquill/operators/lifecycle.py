@@ -54,6 +54,8 @@ TABLES = {
 FEW = 500_000
 #: Hits that are looked up by a list of their ids, which readers prune files by.
 LISTED = 1_000
+#: Term frequencies that a view keeps.
+KNOWN = 100_000
 
 
 class Hits(list):
@@ -74,6 +76,8 @@ class View:
     fresh: DataFrame | None
     degraded: bool = False
     fields: dict[str, tuple[int, int]] = field(default_factory=dict)
+    #: Documents with a term, by scorer and term, as far as they were asked for; 0 for a term that none has.
+    known: dict[tuple[str, str], int] = field(default_factory=dict)
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (doc_id, seq, ...) of generations without those of void documents."""
@@ -579,8 +583,14 @@ class Index:
         scorer = scorer_for(name, self.config.bm25_k1, self.config.bm25_b)
         asked = list(dict.fromkeys([*query.terms, *query.excluded, *(t for p in query.phrases for t in p)]))
         tables = self.tables(name, asked)
-        df = {r.term: r.df for r in tables.terms.filter(F.col("term").isin(query.terms)).collect()}  # the query's terms
-        v = self.view()
+        v, kind = self.view(), "bm25f" if name == "bm25f" else ""
+        if new := [t for t in query.terms if (kind, t) not in v.known]:
+            if len(v.known) + len(new) > KNOWN:
+                v.known.clear()
+                new = query.terms
+            v.known |= {(kind, t): 0 for t in new}
+            v.known |= {(kind, r.term): r.df for r in tables.terms.filter(F.col("term").isin(new)).collect()}  # the query's terms
+        df = {t: v.known[kind, t] for t in query.terms if v.known[kind, t]}
         idf = {t: math.log(v.n / d) for t, d in df.items()}
         toks = build.analyzed(self.documents(), self.analyzer).select("doc_id", "toks") if query.phrases else None
         if per_shard:
