@@ -1,12 +1,12 @@
-"""Exact byte-level BPE for whole texts, with a bounded memo of space-separated chunks.
+"""Exact byte-level BPE for whole texts, and values of the chunks of a text with a bounded memo.
 
 Pre-tokens never cross from a non-blank into a following space, so a text in
 which no two blanks touch falls into chunks (a space and what follows it) that
-are encoded alone; equal chunks are looked up. Texts with runs of blanks are
-cut before each run, with the run kept whole; texts with the control
-characters that libraries class differently are encoded uncut. The vocabulary
-comes from the tokenizer's own JSON file; its special strings inside a text
-become their ids, as the library does by default.
+can be looked at alone; equal chunks are looked up. Texts with runs of blanks
+are cut before each run, with the run kept whole; texts with the control
+characters that libraries class differently are not cut. The vocabulary comes
+from the tokenizer's own JSON file; its special strings inside a text become
+their ids, as the library does by default.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Chunks of one generation of the memo; two generations are held, about 200 bytes a chunk.
 MEMO = 250_000
 LONGEST_KEPT = 64
-#: Code points of a chunk from which its pre-tokens are found here: the library's pattern fails on runs of some 100,000 blanks.
+#: A run of so many blanks has the pre-tokens of its text found here: the library's pattern fails on some 100,000.
 LONG = 10_000
 _RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"\s*\S+|\s+")
 _ODD = re.compile("[\x1c-\x1f]")
 _PIECE = regex.compile(PATTERN)
+_LONG_RUN = re.compile(r"\s{%d}" % LONG)
 
 
 class Memo(dict):
@@ -75,46 +76,39 @@ class ByteBPE:
             raise ValueError(f"{path}: ids are not in the order of merges")
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.ids = Chunks(self, self._chunk, lambda i: array("I", [i]).tobytes())
 
-    def _chunk(self, s: str) -> bytes:
-        if len(s) < LONG:
+    def _ordinary(self, s: str) -> bytes:
+        if len(s) < LONG or not _LONG_RUN.search(s):
             return array("I", self.encoding.encode_ordinary(s)).tobytes()
         single = self.encoding._core_bpe.encode_single_piece
         return b"".join(array("I", single(m.group().encode())).tobytes() for m in _PIECE.finditer(s))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.ids(text))
+        if not any(s in text for s in self.special):
+            return self._ordinary(text)
+        return b"".join(array("I", [self.special[p]]).tobytes() if p in self.special else self._ordinary(p) for p in self.cut.split(text))
 
 
 class Chunks:
-    """Values of a text's chunks, each made once: made(chunk) for ordinary text, of_special(id) for special strings.
+    """Values of a text's chunks, made once: made(chunk), as bytes that for adjacent pre-tokens are joined.
 
-    With ``add``, values of adjacent pre-tokens add up, so that a line break
-    before a word and a stop after one need no entry of their own to be made.
+    So a line break before a word and a stop after one need no entry of their own.
     """
 
-    def __init__(self, bpe: ByteBPE, made, of_special, add: bool = True):
-        self.bpe, self.of_special, self.made = bpe, of_special, made
-        self.mark = {c: made(c) for c in ".,\n"} if add else {}
+    def __init__(self, made):
+        self.made = made
+        self.mark = {c: made(c) for c in ".,\n"}
         self.bare = Memo(lambda k: self._part(k, k, self.bare))
-        self.spaced = Memo(lambda k: self.made(k) if k[:1] == "\n" and not add else self.mark["\n"] + self.bare[k[1:]] if k[:1] == "\n" and len(k) > 1 else self._part(k, k if k[:1] == "\n" else " " + k, self.spaced))
+        self.spaced = Memo(lambda k: self.mark["\n"] + self.bare[k[1:]] if k[:1] == "\n" and len(k) > 1 else self._part(k, k if k[:1] == "\n" else " " + k, self.spaced))
 
-    def _part(self, key: str, chunk: str, memo: Memo):
+    def _part(self, key: str, chunk: str, memo: Memo) -> bytes:
         if key[-1:] in self.mark and key[:-1].isalpha():
             return memo[key[:-1]] + self.mark[key[-1]]
         return self.made(chunk)
 
-    def __call__(self, text: str) -> list:
-        if any(s in text for s in self.bpe.special):
-            out: list = []
-            for part in self.bpe.cut.split(text):
-                out += [self.of_special(self.bpe.special[part])] if part in self.bpe.special else self.ordinary(part)
-            return out
-        return self.ordinary(text)
-
-    def ordinary(self, text: str) -> list:
+    def __call__(self, text: str) -> list[bytes]:
+        """The chunks' values in order, of a text without special strings."""
         if not text:
             return []
         if _RUN.search(text):

@@ -47,7 +47,7 @@ class PrefixCounter:
             self.ending.add_word(b.decode("latin-1"), (len(b), i))
         self.ending.make_automaton()
         self.parts = Memo(self._part)
-        self.chunks = Chunks(bpe, self.chunk, None)
+        self.chunks = Chunks(self.chunk)
 
     def _single(self, b: bytes) -> list[int]:
         return self.bpe.encoding._core_bpe.encode_single_piece(b)
@@ -100,7 +100,7 @@ class PrefixCounter:
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for each code point i from 0 to len(text)."""
         if not any(s in text for s in self.bpe.special):
-            return _counted(self.chunks.ordinary(text))
+            return _counted(self.chunks(text))
         out, before, ordinary, base = [np.zeros(1, np.int32)], 0, "", 0
         for part in self.bpe.cut.split(text):
             if part in self.bpe.special:  # its own prefixes are ordinary text after the ordinary text before it
@@ -108,7 +108,7 @@ class PrefixCounter:
                 before, ordinary, base = before + 1, "", before + 1
                 continue
             ordinary, base = part, before
-            own = _counted(self.chunks.ordinary(part))
+            own = _counted(self.chunks(part))
             out.append(base + own[1:])
             before += int(own[-1])
         return np.concatenate(out)
