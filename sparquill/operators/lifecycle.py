@@ -427,6 +427,9 @@ class Index:
                 self.files.delete(f"voids/{name}")
         for name in self.files.names("staged"):
             self.files.delete(f"staged/{name}")
+        for name in self.files.names("."):
+            if name.startswith(".part-"):
+                self.files.delete(name)
         for _, last, name in self._batches() if log else []:
             if last <= max(self.manifest["flushed"], self.manifest["floor"]) and last < self.manifest["seq"]:
                 self.files.delete(f"changelog/{name}")

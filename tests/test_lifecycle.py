@@ -199,8 +199,10 @@ def test_a_stop_between_generation_and_manifest_loses_nothing(spark, tmp_path):
     again = Index(spark, path)
     assert again.pending() == 2 and {q: hits(again, q) for q in before} == before
     assert len(again.files.names("gen")) == 2
+    (tmp_path / "i" / ".part-left").write_text("a manifest that was not named")
     again.flush()
     assert again.vacuum() == 1 and {q: hits(again, q) for q in before} == before
+    assert not (tmp_path / "i" / ".part-left").exists() and not list((tmp_path / "i" / "staged").iterdir())
     assert {q: hits(Index(spark, path), q) for q in before} == before
 
 
