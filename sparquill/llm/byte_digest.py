@@ -7,9 +7,9 @@ windows the one of lowest rank (leftmost of equals) gets a vote; windows with
 a quarter of a run's votes are the document's features. Features go in order into a chain of
 Bloom filters of BITS bits, PER_FILTER features each. Two chains are compared
 by the overlap of set bits, normalised between what chance gives and what the
-emptier filter allows. As both chains are in the order of their texts, a filter
-is compared with those up to BAND places from its own, counted from the start
-and from the end, so that the work grows with the texts and not their square.
+emptier filter allows. A filter is compared with all of the other chain, so a
+passage counts wherever it has moved to; only filters that the other chain has
+as they are need no comparison.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ BITS, HASHES, PER_FILTER = 1024, 4, 64
 LEVELS = 64
 #: Bytes of text that a task sorts and compares, on average.
 TASK_BYTES = 16_000_000
-#: Places between filters that are compared (some 30 KB of text).
-BAND = 64
+#: Pairs of filters that are compared at once.
+PAIRS = 1 << 15
 #: Share of the way from chance to full overlap that counts as no likeness.
 NOISE = 0.2
 #: c * log2(c) in units of 2^-32: sums are exact, so that a window's level does not depend on what stands before it.
@@ -108,11 +108,18 @@ def digest(filters: np.ndarray) -> str:
     return filters.tobytes().hex()
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint16)
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of bits that each row of ``a`` has in common with each of ``b``, both of 64-bit words."""
+    if len(a) * len(b) < 1000:  # all words in one call
+        return np.bitwise_count(a[:, None] & b).sum(axis=2, dtype=np.uint16)
+    both = np.zeros((len(a), len(b)), np.uint16)
+    for x, y in zip(a.T[:, :, None], b.T):
+        both += np.bitwise_count(x & y)
+    return both
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1: for each filter of the shorter chain its best normalised overlap with the other's in its band, averaged by set bits.
+    """0 to 1: for each filter of the shorter chain its best normalised overlap with any of the other's, averaged by set bits.
 
     Two empty chains are alike (1), an empty and another are not (0).
     """
@@ -120,20 +127,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     if len(a) > len(b):
         a, b = b, a
-    na, nb = _ONES[a].sum(axis=1).astype(float), _ONES[b].sum(axis=1).astype(float)
-    total, longer = 0.0, len(b) - len(a)
-    for i, (f, n) in enumerate(zip(a, na)):  # one filter against its band at a time
-        if longer <= 2 * BAND:  # the bands from the start and from the end touch
-            at = slice(max(0, i - BAND), i + longer + BAND + 1)
-            near, ones = b[at], nb[at]
-        else:
-            parts = [slice(max(0, j - BAND), j + BAND + 1) for j in (i, i + longer)]
-            near, ones = (np.concatenate([x[p] for p in parts]) for x in (b, nb))
-        both = _ONES[near & f].sum(axis=1)
-        chance, most = n * ones / BITS, np.minimum(n, ones)
+    there = {f.tobytes() for f in b}
+    equal = np.array([f.tobytes() in there for f in a])
+    a, b = (np.asfortranarray(x.view(np.uint64)) for x in (a, b))
+    na, nb = (np.bitwise_count(x).sum(axis=1, dtype=float) for x in (a, b))
+    total, bits = 0.0, na.sum()
+    if equal.any():  # their best is 1
+        total, a, na = na[equal].sum(), a[~equal], na[~equal]
+    rows = max(1, PAIRS // len(b))
+    for i in range(0, len(a), rows):
+        n, both = na[i : i + rows, None], shared(a[i : i + rows], b)
+        chance, most = n * nb / BITS, np.minimum(n, nb)
         floor = chance + NOISE * (most - chance)
-        total += n * float(np.clip((both - floor) / np.maximum(most - floor, 1e-9), 0, 1).max())
-    return min(1.0, total / na.sum())
+        best = ((both - floor) / np.maximum(most - floor, 1e-9)).max(axis=1)
+        total += n[:, 0] @ np.clip(best, 0, 1)
+    return min(1.0, float(total / bits))
 
 
 def rarity(docs: DataFrame) -> np.ndarray:

@@ -152,3 +152,30 @@ def test_ids_that_are_texts_or_dates(spark, rnd):
         got = {r.doc_id: (r.edited_sha256, r.near_next) for r in B.compared(docs).collect()}
         plain = {r.doc_id: (r.edited_sha256, r.near_next) for r in B.compared(make(spark, [*rows, (None, "last")])).collect()}
         assert got == {None if i is None else to(i): x for i, x in plain.items()}
+
+
+def test_a_passage_counts_wherever_it_stands(rnd):
+    whole, part = words(rnd, 60_000, 10**6), words(rnd, 4000, 10**6)
+    assert len(B.chain(whole, rank())) > 4 * 64  # further than 64 filters from both ends
+    for at in (0, len(whole) // 3, len(whole) // 2, len(whole)):
+        a, b = B.chain(part, rank()), B.chain(whole[:at] + part + whole[at:], rank())
+        # Where a filter begins elsewhere in the passage, two of the longer text share its features.
+        assert B.likeness(a, b) > 0.3 and B.likeness(b, a) == B.likeness(a, b), at
+    assert B.likeness(B.chain(part, rank()), B.chain(whole, rank())) < 0.1
+
+
+def test_likeness_takes_the_best_of_all_filters(rnd, monkeypatch):
+    def some(k):
+        return np.packbits(np.array([[rnd.random() < p for _ in range(B.BITS)] for p in (rnd.uniform(0.01, 0.4) for _ in range(k))]), axis=1)
+
+    def plain(c):
+        return [int.from_bytes(f.tobytes(), "big") for f in c]
+
+    a, b = some(150), some(400)
+    b[rnd.sample(range(400), 60)] = a[rnd.sample(range(150), 60)]  # as they are, anywhere
+    b[:40] = a[-40:] | some(40) & some(40)  # much alike, far off
+    for pairs in (None, 1000, 1):
+        if pairs:
+            monkeypatch.setattr(B, "PAIRS", pairs)
+        for x, y in ((a, b), (b, a), (a[:1], b), (a, a)):
+            assert abs(B.likeness(x, y) - plain_likeness(plain(x), plain(y))) < 1e-9
