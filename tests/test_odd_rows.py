@@ -49,3 +49,7 @@ def test_index_shard_counts(spark, odd):
 
 def test_index_log(spark, odd):
     same(spark, odd, "index_log")
+
+
+def test_index_bm25f_topk(spark, odd):
+    same(spark, odd, "index_bm25f_topk")
