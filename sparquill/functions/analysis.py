@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sparquill.functions.porter2 import stem
 
 TERM = r"[\p{L}\p{Nd}]+"
+SEPARATOR = r"[^\p{L}\p{Nd}]+"
 _TERM = regex.compile(TERM)
 _SIMPLE = str.maketrans("İΣ", "iσ")
 
@@ -30,6 +31,18 @@ def tokens(text: Column | str) -> Column:
     return F.coalesce(F.transform(found, F.lower), F.array().cast("array<string>"))
 
 
+def joined(text: Column | str) -> Column:
+    """The same terms as one string with a blank between two: no array and no object for each term.
+
+    Lower case is taken before separators are sought: it makes no letter of
+    what is none, nor the other way.
+    """
+    c = F.col(text) if isinstance(text, str) else text
+    for old, new in (("İ", "i"), ("Σ", "σ")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(c), SEPARATOR, " ")), F.lit(""))
+
+
 def tokenize(text: str) -> list[str]:
     """The same on the driver, for query texts."""
     return [t.lower() for t in _TERM.findall(text.translate(_SIMPLE))]
@@ -43,8 +56,8 @@ def english_stop_words(spark: SparkSession | None = None) -> list[str]:
 
 def without_stop_words(terms: Column, stop: Iterable[str]) -> Column:
     """Order and repetition of the rest stay."""
-    words = F.array(*(F.lit(w) for w in stop)) if stop else F.array().cast("array<string>")
-    return F.filter(terms, lambda t: ~F.array_contains(words, t))
+    stop = list(stop)
+    return F.filter(terms, lambda t: ~t.isin(stop)) if stop else terms
 
 
 @dataclass(frozen=True)
@@ -67,6 +80,10 @@ class Analyzer:
         out = tokens(text)
         return without_stop_words(out, self.stop) if self.stop_words else out
 
+    def joined(self, text: Column | str) -> Column:
+        """The same as one string with a blank between two."""
+        return F.array_join(self.column(text), " ") if self.stop_words else joined(text)
+
     def terms(self, text: str) -> list[str]:
         out = [t for t in tokenize(text) if not (self.stop_words and t in set(self.stop))]
         return [stem(t) for t in out] if self.stemming else out
@@ -90,12 +107,18 @@ class Analyzer:
         return stem_terms(rows, column)
 
 
-def stem_terms(rows: DataFrame, column: str) -> DataFrame:
+def stem_column(column: Column | str) -> Column:
+    """The stem of each value."""
+
     @F.pandas_udf("string")
     def stems(words: pd.Series) -> pd.Series:
         return words.map(stem, na_action="ignore")
 
-    known = rows.select(F.col(column).alias("__word")).distinct().withColumn("__stem", stems("__word"))
+    return stems(column)
+
+
+def stem_terms(rows: DataFrame, column: str) -> DataFrame:
+    known = rows.select(F.col(column).alias("__word")).distinct().withColumn("__stem", stem_column("__word"))
     out = rows.join(known, F.col(column) == F.col("__word"), "left")
     return out.withColumn(column, F.coalesce("__stem", column)).drop("__word", "__stem")
 

@@ -7,14 +7,12 @@ cluster shares, so that a lost executor costs one task and not a lineage.
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.sources.readers import shared_dir, spread
+from sparquill.sources.readers import _remove, shared_dir, spread, written  # noqa: F401 - written is for the operators
 
 #: Rows of text per Arrow batch; with texts of a few KB a batch is a few MB.
 TEXT_ROWS = 512
@@ -26,30 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may have gone first; the folder is scratch space
-        pass
-
-
-def written(df: DataFrame, *, temporary: bool = True) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, read by all.
-
-    The table goes when the driver's Python ends, unless ``temporary`` is false.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparquill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if temporary:
-        atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
 def release(spark: SparkSession) -> None:
     """Deletes all that ``written`` wrote for this session; results that were not saved are lost with it."""
     _remove(spark, f"{shared_dir(spark)}/sparquill")

@@ -12,10 +12,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparquill.functions.analysis import Analyzer
+from sparquill.functions.analysis import Analyzer, stem_column
 from sparquill.functions.scoring import BM25, Scorer
-from sparquill.operators.build import Tables, analyzed
+from sparquill.operators.build import Tables, corpus_stats, term_stats
 from sparquill.plans.query_parser import ParsedQuery
+from sparquill.sources.readers import written
 
 PHRASE_BOOST = 0.25
 #: Query terms of a batch that are broadcast at most; more are joined by a shuffle.
@@ -116,15 +117,58 @@ def search(tables: Tables, query: ParsedQuery, k: int = DEFAULT_K, scorer: Score
     return top(hits, k, digits, ties)
 
 
+#: Forms of a stem that are counted one by one; more are looked up in a set.
+FORMS = 20
+
+
+def _occurrences(spaced: Column, words: Column, forms: list[str]) -> Column:
+    """How many terms of a row are one of ``forms``; in ``spaced`` each term stands between two blanks of its own."""
+    if len(forms) > FORMS:
+        return F.size(F.filter(F.split(words, " "), lambda t: t.isin(forms)))
+    gone = [(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(f" {t} "), F.lit("")))) / F.lit(len(t.encode()) + 2) for t in forms]
+    return sum(gone[1:], gone[0]).cast("int") if gone else F.lit(0)
+
+
 def _counted(docs: DataFrame, query: ParsedQuery, analyzer: Analyzer, *extra: Column) -> tuple[DataFrame, dict[str, str]]:
-    """A row for each document with dl, the extra columns, a count for each term of the query and a mark for each phrase; the counts' names."""
+    """A row for each document with dl, the extra columns, a count for each term of the query and a mark for each phrase; the counts' names.
+
+    The texts are read once: the narrow rows are written, and read for the
+    statistics and for the scores.
+    """
     asked = list(dict.fromkeys([*query.terms, *query.excluded]))
     tf = {t: f"__t{i}" for i, t in enumerate(asked)}
-    own = F.filter("toks", lambda t: t.isin(asked)).alias("__own")
-    held = [holds_phrase(F.col("toks"), p).cast("int").alias(f"__p{i}") for i, p in enumerate(query.phrases)]
-    rows = analyzed(docs, analyzer).select("doc_id", "dl", own, *held)
-    counts = [(F.size("__own") - F.size(F.array_remove("__own", t))).alias(c) for t, c in tf.items()]
-    return rows.select("doc_id", "dl", *extra, *counts, *(f"__p{i}" for i in range(len(held)))), tf
+    forms = {t: [t] for t in asked}
+    if analyzer.stemming:
+        if query.phrases:
+            raise ValueError("phrases of stems need postings")
+        forms = stem_forms(docs, analyzer, asked)
+    w, x = F.col("__w"), F.col("__x")
+    rows = docs.select("doc_id", *extra, analyzer.joined("text").alias("__w"))
+    names = [c for c in rows.columns if c != "__w"]
+    rows = rows.withColumn("__x", F.concat(F.lit(" "), F.replace(w, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    dl = F.when(w == "", 0).otherwise(F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit(""))) + 1)
+    held = [F.concat(F.lit(" "), w, F.lit(" ")).contains(f" {' '.join(p)} ").cast("int").alias(f"__p{i}") for i, p in enumerate(query.phrases)]
+    return written(rows.select(*names, dl.alias("dl"), *(_occurrences(x, w, forms[t]).alias(c) for t, c in tf.items()), *held)), tf
+
+
+def stem_forms(docs: DataFrame, analyzer: Analyzer, stems: list[str]) -> dict[str, list[str]]:
+    """The terms of the texts that have one of the stems: a stem begins as its term does, so only such terms are stemmed."""
+    first = sorted({s[:1] for s in stems})
+    words = docs.select(F.explode(F.split(analyzer.joined("text"), " ")).alias("term"))
+    words = words.filter(F.substring("term", 1, 1).isin(first)).distinct()
+    out: dict[str, list[str]] = {s: [] for s in stems}
+    for r in words.withColumn("stem", stem_column("term")).filter(F.col("stem").isin(stems)).collect():  # forms of the query's terms
+        out[r.stem].append(r.term)
+    return out
+
+
+def scan_tables(docs: DataFrame, terms: list[str], analyzer: Analyzer | None = None) -> Tables:
+    """``Tables`` of the given terms, from one scan of the texts: what reads them reads narrow rows."""
+    rows, tf = _counted(docs, ParsedQuery(should=list(terms)), analyzer or Analyzer())
+    pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.col(c).alias("tf")) for t, c in tf.items()))
+    post = rows.select("doc_id", "dl", F.explode(F.filter(pairs, lambda p: p["tf"] > 0)).alias("p")).select("p.term", "doc_id", "p.tf", "dl")
+    lengths = rows.select("doc_id", "dl")
+    return Tables(post, term_stats(post), corpus_stats(lengths), lengths)
 
 
 def _statistics(tf: dict[str, str]) -> list[Column]:
@@ -156,10 +200,11 @@ def _row_score(query: ParsedQuery, tf: dict[str, str], scorer: Scorer, boost: fl
 
 
 def scan_search(docs: DataFrame, query: ParsedQuery, k: int = DEFAULT_K, scorer: Scorer | None = None, analyzer: Analyzer | None = None, boost: float = PHRASE_BOOST, digits: int | None = None) -> DataFrame:
-    """The same from texts without an index: one scan for statistics, one for scores, and no shuffle.
+    """The same from texts without an index: one scan of them, and no shuffle of postings.
 
     A document is a row with a count for each term of the query, so conditions
-    and phrases are tests of a row. For analyzers without stemming.
+    and phrases are tests of a row. With stemming, one more scan finds the
+    terms that have the query's stems, and there are no phrases.
     """
     rows, tf = _counted(docs, query, analyzer or Analyzer())
     if not query.terms:
