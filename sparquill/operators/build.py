@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparquill.functions.analysis import Analyzer
+from sparquill.functions.porter2 import stem
 from sparquill.functions.scoring import BM25, DEFAULT_FIELDS, FieldWeight, Scorer
 
 
@@ -47,6 +51,39 @@ def postings(docs: DataFrame, analyzer: Analyzer | None = None, text: str = "tex
     return counted.select("term", "doc_id", "tf", "dl", *extra)
 
 
+def document_terms(docs: DataFrame, analyzer: Analyzer, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, extra columns, dl, terms, tfs): a row for each row, its distinct terms and how often each is there.
+
+    A document is one row, so its terms are counted where it is: no row for
+    each occurrence is made, and nothing is shuffled.
+    """
+    own = docs.select("doc_id", *extra)
+    names, n, stemming = [*own.columns, "dl", "terms", "tfs"], len(own.columns), analyzer.stemming
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dl, ends, terms, tfs = [], [0], [], []
+            for text in b.column(n).to_pylist():
+                toks = text.split(" ") if text else []
+                found = Counter(map(stem, toks) if stemming else toks)
+                terms += found
+                tfs += found.values()
+                dl.append(len(toks))
+                ends.append(len(terms))
+            at = pa.array(ends, pa.int32())
+            lists = (pa.ListArray.from_arrays(at, pa.array(x, kind)) for x, kind in ((terms, pa.string()), (tfs, pa.int32())))
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(dl, pa.int32()), *lists], names=names)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    return docs.select(*own.columns, analyzer.joined("text").alias("__w")).mapInArrow(run, f"{kinds}, dl int, terms array<string>, tfs array<int>")
+
+
+def exploded(counted: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(term, doc_id, tf, dl) and the extra columns of rows of ``document_terms``."""
+    pairs = F.explode(F.arrays_zip("terms", "tfs")).alias("p")
+    return counted.select("doc_id", "dl", *extra, pairs).select(F.col("p.terms").alias("term"), "doc_id", F.col("p.tfs").alias("tf"), "dl", *extra)
+
+
 def _wanted(flat: DataFrame, only: DataFrame | list[str]) -> DataFrame:
     return flat.filter(F.col("term").isin(only)) if isinstance(only, list) else flat.join(only, "term", "left_semi")
 

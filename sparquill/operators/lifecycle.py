@@ -294,11 +294,16 @@ class Index:
         rows.sortWithinPartitions("doc_id").write.parquet(f"{root}/docs")
         docs = self.spark.read.schema(TABLES["docs"]).parquet(f"{root}/docs")
         # Ranges of terms, and of documents within a frequent term: readers skip the files that have none of a query's terms.
-        post = build.postings(docs, self.analyzer, extra=("seq", "shard"))
+        aside = f"staged/{uuid.uuid4().hex}"
+        counted = build.document_terms(docs, self.analyzer, extra=("seq", "shard"))
+        counted.write.parquet(f"{self.path}/{aside}")
+        counted = self.spark.read.schema(counted.schema).parquet(f"{self.path}/{aside}")
+        post = build.exploded(counted, extra=("seq", "shard"))
         post.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{root}/postings")
         frequency = self._read("postings", [f"gen/{name}"]).groupBy("term").agg(F.count("*").alias("df"))
         frequency.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{root}/terms")
-        build.analyzed(docs, self.analyzer, extra=("seq", "shard")).select("doc_id", "seq", "dl", "shard", F.lit(name).alias("segment_id")).write.parquet(f"{root}/lengths")
+        counted.select("doc_id", "seq", "dl", "shard", F.lit(name).alias("segment_id")).write.parquet(f"{root}/lengths")
+        self.files.delete(aside)
         n, total = self._read("lengths", [f"gen/{name}"]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         if not n:
             self.files.delete(f"gen/{name}")

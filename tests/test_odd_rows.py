@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 from sparquill import queries as engine
+from sparquill.functions.analysis import Analyzer
+from sparquill.operators import build
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +67,15 @@ def test_index_topk(spark, odd):
 
 def test_index_pending_topk(spark, odd):
     same(spark, odd, "index_pending_topk")
+
+
+@pytest.mark.parametrize("stemming", [False, True])
+def test_document_terms(spark, stemming):
+    """Terms counted by document are the postings, and no text is grouped for them."""
+    docs = spark.createDataFrame([("a", "Red red, fishes fish", 1), ("b", "", 2), ("c", None, 3), ("d", "İΣ x", 4)], "doc_id string, text string, seq bigint")
+    a = Analyzer(stemming=stemming, stop_words=stemming)
+    counted = build.document_terms(docs, a, extra=("seq",))
+    assert {r.doc_id: r.dl for r in counted.collect()} == {r.doc_id: r.dl for r in build.analyzed(docs, a).collect()}
+    got = build.exploded(counted, extra=("seq",))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build.postings(docs, a, extra=("seq",)).collect()))
